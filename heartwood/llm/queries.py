@@ -47,6 +47,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -69,7 +75,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.encode_turns(turns, file), file)
 
 
-QUERIES = {f.__name__: f for f in (op2_lm_score, op3_token_counts, op4_exact_dedup, op5_toxicity, op8_best_fit_packing, op9_sentencepiece, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_lm_score, op3_token_counts, op4_exact_dedup, op5_toxicity, op6_minhash_near_dedup, op8_best_fit_packing, op9_sentencepiece, op10_chat_format)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
