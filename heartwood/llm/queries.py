@@ -16,6 +16,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm_score
 
@@ -75,9 +81,23 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.encode_turns(turns, file), file)
 
 
-QUERIES = {f.__name__: f for f in (op2_lm_score, op3_token_counts, op4_exact_dedup, op5_toxicity, op6_minhash_near_dedup, op8_best_fit_packing, op9_sentencepiece, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_score, op3_token_counts, op4_exact_dedup, op5_toxicity, op6_minhash_near_dedup, op8_best_fit_packing, op9_sentencepiece, op10_chat_format)}
 
 ORACLE_SQL = {
+    "op1_embedding_near_dedup": """
+        WITH RECURSIVE e AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95
+        ), reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a
+        ), c AS (
+            SELECT a, min(b) AS component_id FROM reach GROUP BY a
+        ), n AS (
+            SELECT a, count(*) AS n FROM l GROUP BY a
+        )
+        SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+        FROM e JOIN c ON e.vec_id = c.a LEFT JOIN n ON e.vec_id = n.a""",
     "op4_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents
