@@ -59,6 +59,12 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -81,7 +87,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.encode_turns(turns, file), file)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_score, op3_token_counts, op4_exact_dedup, op5_toxicity, op6_minhash_near_dedup, op8_best_fit_packing, op9_sentencepiece, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_score, op3_token_counts, op4_exact_dedup, op5_toxicity, op6_minhash_near_dedup, op7_suffix_array_dedup, op8_best_fit_packing, op9_sentencepiece, op10_chat_format)}
 
 ORACLE_SQL = {
     "op1_embedding_near_dedup": """
