@@ -53,3 +53,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.col("_id").alias(id_col), "keep_id", "group_size",
         F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_sha").alias("text_sha256"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=content_hash) -> DataFrame:
+    """One row of each group of equal rows, whole: the one that ``exact_duplicates`` keeps.
+
+    Rows that agree in length and id are told apart by a hash of all their columns. The
+    row rides through the pre-aggregated group-by, so nothing is joined back.
+    """
+    names = docs.columns
+    raw = F.coalesce(F.col(text_col), F.lit(""))
+    row = docs.select(F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names))).alias("_row"), F.struct(F.char_length(raw), -F.col(id_col), F.xxhash64(*names)).alias("_rank"), normalised(raw).alias("_t"))
+    best = row.groupBy(hash_of(F.col("_t")).alias("_h"), "_t").agg(F.max_by("_row", "_rank").alias("_row"))
+    return best.select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)))

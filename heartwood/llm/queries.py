@@ -10,7 +10,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -33,7 +33,7 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
-    return token_counts(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return token_counts(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,13 +68,13 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
-    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken")))
+    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken")))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import encode_digests
 
-    return encode_digests(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return encode_digests(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = r"\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    file = _vocabulary("byte_bpe_50k.tiktoken")
+    file = vocabulary("byte_bpe_50k.tiktoken")
     return chat_format.read_back(chat_format.encode_turns(turns, file), file)
 
 

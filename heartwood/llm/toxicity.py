@@ -194,3 +194,17 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(m.scores(row, ix, hi - lo))], ["i", "s"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, score double")
+
+
+def keep_clean(docs: DataFrame, machine: Machine, reject: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below ``reject``."""
+    shared = docs.sparkSession.sparkContext.broadcast((machine.known, machine.bias, machine.weight, machine.factor))
+    at_col = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Machine(*shared.value)
+        for b in batches:
+            low = [m.scores(*m.rows(data, at), hi - lo) < reject for lo, hi, data, at in slices(text_array(b.column(at_col)))]
+            yield b.filter(pa.array(np.concatenate(low))) if low else b
+
+    return docs.mapInArrow(run, docs.schema)
