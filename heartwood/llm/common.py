@@ -1,63 +1,23 @@
-"""What the training-data operators share: scratch tables, the word kernel, components.
-
-Scratch tables live in the folder that ``spark.checkpoint.dir`` names, which all
-executors share, so a lost executor costs recomputed tasks and nothing else.
-"""
+"""What the training-data operators share: the word kernel, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 #: Bytes of text that the numpy kernels take at once; a longer document is taken whole.
 SLICE_BYTES = 2 << 20
 
 U64 = np.uint64
 
 
-# --------------------------------------------------------------------------- scratch
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new one only where none is set."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    now = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if now.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="heartwood-"))
-        now = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return now.get()
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage. ``drop`` removes one early."""
-
-    def __init__(self, spark: SparkSession, what: str):
-        self.spark = spark
-        self.top = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        path = f"{self.top}/{self.n}"
-        self.n += 1
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 # ----------------------------------------------------------------------- text kernel
 
 #: Characters that part words: space and U+0009 to U+000D.
