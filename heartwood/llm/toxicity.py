@@ -29,11 +29,13 @@ PREFIX_BYTES = 5
 @dataclass(frozen=True)
 class Settings:
     max_rows: int = 20_000  #: labelled rows to fit on: those with the smallest hashed ids
-    max_terms: int = 16_384  #: terms kept, by how unevenly the classes have them
+    max_terms: int = 16_384  #: terms kept, by how much more label 1 has them than by chance
     min_rows: int = 3  #: of the sample's rows that must have a term
     min_strength: float = 12.0  #: chi-squared that a term must reach, so that chance ones don't explain rows away
     factors: int = 8
-    epochs: int = 30
+    alone: float = 0.5  #: share of the passes that fit weights before factors join
+    epochs: int = 50  #: at least; more where that makes fewer than min_steps batches
+    min_steps: int = 6000
     batch: int = 128
     rate: float = 0.15
     decay: float = 1e-4  #: of weights; a pair should matter only beyond what its terms do
@@ -64,8 +66,15 @@ def terms(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([whole, part]), np.concatenate([row, row[long]])
 
 
+def value(row: np.ndarray, n: int) -> np.ndarray:
+    return np.maximum(np.bincount(row, minlength=n), 1)[row] ** -0.25
+
+
 class Machine:
-    """score(x) = sigmoid(bias + sum of weights + sum over pairs of factor products)."""
+    """score(x) = sigmoid(bias + x . weight + sum over pairs of x_i x_j factor_i . factor_j).
+
+    x has n ** -1/4 for each of a row's n known terms, so that one term alone speaks up.
+    """
 
     def __init__(self, known: np.ndarray, bias: float, weight: np.ndarray, factor: np.ndarray):
         self.known, self.bias, self.weight, self.factor = known, bias, weight, factor
@@ -84,10 +93,11 @@ class Machine:
         return pair // (len(self.known) + 1), pair % (len(self.known) + 1)
 
     def scores(self, row: np.ndarray, ix: np.ndarray, n: int) -> np.ndarray:
+        x = value(row, n)
         z = np.full(n, self.bias)
-        z += np.bincount(row, self.weight[ix], n)
+        z += np.bincount(row, x * self.weight[ix], n)
         for f in range(self.factor.shape[1]):
-            v = self.factor[ix, f]
+            v = x * self.factor[ix, f]
             z += 0.5 * (np.bincount(row, v, n) ** 2 - np.bincount(row, v * v, n))
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -100,28 +110,33 @@ def fit(known: np.ndarray, rows: list[np.ndarray], y: np.ndarray, s: Settings) -
     bias = float(np.log(rate / (1 - rate)))
     w, v = np.zeros(k), rng.normal(0, 0.01, (k, s.factors))
     gw, gv, gb = np.full(k, 1e-2), np.full((k, s.factors), 1e-2), 1e-2
-    for _ in range(s.epochs):
+    batches = -(-n // s.batch)
+    passes = max(s.epochs, -(-s.min_steps // max(1, batches)))
+    for turn in range(passes):
+        pairs = turn >= s.alone * passes
         order = rng.permutation(n)
         for lo in range(0, n, s.batch):
             part = order[lo : lo + s.batch]
             ix = np.concatenate([rows[i] for i in part])
             row = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
-            total = np.zeros((len(part), s.factors))
-            np.add.at(total, row, v[ix])
             m = Machine.__new__(Machine)
-            m.bias, m.weight, m.factor = bias, w, v
+            m.bias, m.weight, m.factor = bias, w, v if pairs else v[:, :0]
             err = m.scores(row, ix, len(part)) - y[part]
             used, back = np.unique(ix, return_inverse=True)
-            dw = np.bincount(back, err[row], len(used)) + s.decay * w[used]
-            dv = np.zeros((len(used), s.factors))
-            np.add.at(dv, back, err[row, None] * (total[row] - v[ix]))
-            dv += s.factor_decay * v[used]
+            x = value(row, len(part))
+            dw = np.bincount(back, err[row] * x, len(used)) + s.decay * w[used]
             gw[used] += dw**2
-            gv[used] += dv**2
             gb += err.sum() ** 2
             w[used] -= s.rate * dw / np.sqrt(gw[used])
-            v[used] -= s.rate * dv / np.sqrt(gv[used])
             bias -= s.rate * err.sum() / np.sqrt(gb)
+            if pairs:
+                total = np.zeros((len(part), s.factors))
+                np.add.at(total, row, x[:, None] * v[ix])
+                dv = np.zeros((len(used), s.factors))
+                np.add.at(dv, back, (err[row] * x)[:, None] * (total[row] - x[:, None] * v[ix]))
+                dv += s.factor_decay * v[used]
+                gv[used] += dv**2
+                v[used] -= s.rate * dv / np.sqrt(gv[used])
     return Machine(known, bias, w, v)
 
 
@@ -163,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     counts = rows.mapInArrow(listed, "h long, n long, y long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     expected = F.col("n") * F.lit(pos / n)
     strength = (F.col("y") - expected) ** 2 / (expected * (1 - pos / n) + 1e-9)
-    best = counts.filter((F.col("n") >= settings.min_rows) & (strength >= settings.min_strength)).orderBy(strength.desc(), "h").limit(settings.max_terms)
+    best = counts.filter((F.col("n") >= settings.min_rows) & (F.col("y") > expected) & (strength >= settings.min_strength)).orderBy(strength.desc(), "h").limit(settings.max_terms)
     terms_kept = np.sort(np.array([r[0] for r in best.select("h").collect()], np.int64).view(U64))
     probe = Machine(terms_kept, 0.0, np.zeros(len(terms_kept)), np.zeros((len(terms_kept), 1)))
 
