@@ -1,4 +1,4 @@
-"""What the training-data operators share: the word kernel, components."""
+"""What the training-data operators share: a filter of ids, the word kernel, components."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
@@ -18,6 +18,48 @@ SLICE_BYTES = 2 << 20
 U64 = np.uint64
 
 
+# ------------------------------------------------------------------------- id filter
+
+FILTER_BITS = 1 << 27  #: bound of a broadcast filter of ids (16 MB)
+
+
+def _filter_places(ids: Column, bits: int) -> Column:
+    return F.array(*(F.pmod(F.xxhash64(ids, F.lit(k)), F.lit(bits)) for k in (1, 2)))
+
+
+class IdFilter:
+    """A Bloom filter of ids, for tasks to leave out rows before they are shuffled to a join
+    that decides. Its size follows the number of ids up to FILTER_BITS; beyond that it lets
+    more rows through, and the join's result stays the same."""
+
+    def __init__(self, ids: DataFrame, column: str):
+        self.column = column
+        self.bits = int(min(FILTER_BITS, max(1 << 12, 16 * ids.count())))
+        at = ids.select(F.explode(_filter_places(F.col(column), self.bits)).alias("p"))
+        word = at.groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
+        rows = word.toArrow()  # at most FILTER_BITS / 64
+        table = np.zeros(self.bits // 64 + 1, np.int64)
+        table[rows["w"].to_numpy()] = rows["b"].to_numpy()
+        self.table = ids.sparkSession.sparkContext.broadcast(table.view(U64))
+
+    def __call__(self, df: DataFrame, column: str) -> DataFrame:
+        """The rows of df whose id may be a member, with all columns. Null is none."""
+        shared, names = self.table, df.columns
+        places = _filter_places(F.col(column), self.bits)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = shared.value
+            for b in batches:
+                hit = np.ones(b.num_rows, bool)
+                for k in (-2, -1):
+                    p = b.column(b.num_columns + k).to_numpy()
+                    hit &= (table[p >> 6] >> (p & 63).astype(U64)) & U64(1) == 1
+                b = b.filter(pa.array(hit))
+                yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(names))], names)
+
+        return df.filter(F.col(column).isNotNull()).select("*", places[0].alias("_p0"), places[1].alias("_p1")).mapInArrow(run, df.schema)
+
+
 # ----------------------------------------------------------------------- text kernel
 
 #: Characters that part words: space and U+0009 to U+000D.

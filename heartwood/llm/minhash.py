@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, components, mix, shingles, slices, text_array, words
+from .common import U64, IdFilter, Scratch, components, mix, shingles, slices, text_array, words
 
 SKETCH = 64  #: values that estimate
 HEAD = 24  #: smallest values that may make lists
@@ -220,7 +220,9 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), si
                 sets = pa.array([s.tobytes() for s in shingles(*words(data, at), size)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(4)), sets], ["c", "r", "b", "n", "s"])
 
-    sets = place.join(text, "rep").select("cluster", "rep", "block", "blocks", "text")
+    place = scratch.save(place)
+    text = IdFilter(place, "rep")(text, "rep")
+    sets = place.hint("merge").join(text, "rep").select("cluster", "rep", "block", "blocks", "text")
     sets = scratch.save(sets.mapInArrow(full, "cluster long, rep long, block int, blocks int, set binary"))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
