@@ -71,15 +71,15 @@ def connected_components(nodes: DataFrame, pairs: DataFrame, scratch: Scratch, m
         return moved.filter("a != b").distinct()
 
     now = scratch.save(pairs.select("a", "b").filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    sign = None
+    sign, count = None, now.count()
     for _ in range(max_rounds):
-        new = scratch.save(star(star(now, True), False))
+        new = scratch.save(star(star(now, True), False), count)
         scratch.drop(now)
         now = new
         row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if row == sign:
             break
-        sign = row
+        sign, count = row, row[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     of = now.select(F.col("a").alias("handle"), F.col("b").alias("component"))

@@ -32,7 +32,11 @@ class Scratch:
         self.top = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, rows: int | None = None, per_file: int = 32_768) -> DataFrame:
+        """``rows``: about how many there will be, where that is known; a small table then
+        makes few files (and tasks), whatever the number of shuffle partitions."""
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // per_file)))
         path = f"{self.top}/{len(self.paths)}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
@@ -12,7 +13,7 @@ from heartwood.plans import catalog  # noqa: E402
 
 def norm(df):
     df = df[sorted(df.columns)]
-    clean = lambda v: None if v is None or v != v else (round(float(v), 6) if isinstance(v, float) else (v.item() if hasattr(v, "item") else v))
+    clean = lambda v: None if pd.isna(v) else (round(float(v), 6) if isinstance(v, float) else (v.item() if hasattr(v, "item") else v))
     return sorted((tuple(map(clean, r)) for r in df.itertuples(index=False)), key=str)
 
 
