@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import ranks_of
-from .common import text_array
+from .common import bounded, text_array
 
 #: Control strings of the template; the reserved ids follow the vocabulary in this order.
 CONTROLS = ("### ", ": ", "</turn>\n")
@@ -40,6 +40,7 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1", text)
 
 
+@bounded
 def encode_turns(turns: DataFrame, rank_file: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learn_role: str = "assistant") -> DataFrame:
     """(conv_id, turn, ids, loss array<boolean>): each row as a turn of the template.
 
@@ -88,6 +89,7 @@ def read_turn(enc, ids: np.ndarray, loss: np.ndarray) -> tuple[str, str, str, in
     return unescape(role), unescape(text), unescape(text_of(ids[loss])), shown
 
 
+@bounded
 def read_back(turns: DataFrame, rank_file: str) -> DataFrame:
     """One row per conversation of ``encode_turns``'s output, read from its ids alone:
     conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.

@@ -2,22 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
 #: Bytes of text that the numpy kernels take at once; a longer document is taken whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+#: Rows that come to a Python worker at once, so that rows of long texts stay few.
+BATCH_ROWS = 1000
 
 U64 = np.uint64
 
 
+def _return_memory() -> None:
+    """Python workers outlive their tasks: what a task frees goes back to the system at
+    once, so that idle workers don't keep an executor's memory."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+if TaskContext.get() is not None:
+    _return_memory()
+
+
+def bounded(operator: Callable) -> Callable:
+    """The operator (of a DataFrame), with the session's Arrow batches at most BATCH_ROWS."""
+
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **more):
+        conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+            conf.set(key, str(BATCH_ROWS))
+        return operator(df, *args, **more)
+
+    return run
+
+
 # ------------------------------------------------------------------------- id filter
 
 FILTER_BITS = 1 << 27  #: bound of a broadcast filter of ids (16 MB)
@@ -186,13 +218,14 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], ["a", "b"])
 
 
-def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rows: int | None = None, max_rounds: int = 64) -> DataFrame:
     """(node, component): the smallest node that undirected ``edges`` (a, b) reach.
 
     Alternating large-star and small-star steps; a step moves each node's edges to the
     smallest neighbour, by a pre-aggregated minimum and a join that skew handling may
     split, so no neighbourhood is gathered in one task. Partitions first reduce their own
-    edges to stars. Nodes without an edge are not in the result.
+    edges to stars. Nodes without an edge are not in the result. ``rows``: about how many
+    edges there are, if known.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -207,16 +240,17 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 64) -> Data
         return moved.filter("a != b").distinct()
 
     forest = lambda e: e.mapInArrow(_local_forest, "a long, b long")
-    now = scratch.save(forest(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b")))
+    now = scratch.save(forest(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b")), rows)
     sign = None
+    count = now.count()
     for _ in range(max_rounds):
-        new = scratch.save(star(star(now, True), False))
+        new = scratch.save(star(star(now, True), False), count)
         scratch.drop(now)
         now = new
         row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if row == sign:
             break
-        sign = row
+        sign, count = row, row[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

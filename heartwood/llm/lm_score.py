@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, mix, slices, text_array, words
+from .common import U64, Scratch, bounded, mix, slices, text_array, words
 
 END, BEGIN = U64(0xE703), U64(0xBE61)  # the end token, and what stands before the first word
 LEVELS = 64
@@ -34,7 +34,7 @@ class Settings:
     max_filter_bytes: int = 256 << 20  #: bound of the broadcast filter
     bits: int = 8  #: of the filter for each level of each n-gram, while the bound allows
     hot_words: int = 1 << 20  #: bound of the broadcast words with exact counts
-    flush_tokens: int = 4_000_000  #: that a task counts before it sends blocks
+    flush_tokens: int = 2_000_000  #: that a task counts before it sends blocks
     trust: float = 0.2  #: weight of a pair's relative frequency; the rest is the unigram's
 
 
@@ -140,6 +140,7 @@ class Model:
     trust: float
 
 
+@bounded
 def train(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model, and all other words' (h, c) with their exact counts.
 
@@ -243,6 +244,7 @@ def token_scores(m: Model, seq: np.ndarray, before: np.ndarray) -> tuple[np.ndar
     return np.log10(trust * pair / np.maximum(history, 1) + (1 - trust) * single), exact[at]
 
 
+@bounded
 def score(docs: DataFrame, model: Model, others: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 

@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, IdFilter, Scratch, components, mix, shingles, slices, text_array, words
+from .common import U64, IdFilter, Scratch, bounded, components, mix, shingles, slices, text_array, words
 
 SKETCH = 64  #: values that estimate
 HEAD = 24  #: smallest values that may make lists
 LISTS = 6  #: lists of less frequent values that a document is in, the smallest values first
 FREQUENT = 200  #: documents from which on a value is frequent
-BLOCK = 256  #: documents in a block of a large cluster
+BLOCK = 256  #: documents in a block of a large cluster, and
+BLOCK_VALUES = 1 << 18  #: the values of their sets together, about
 SLACK = 0.25  #: how far below the threshold an estimate may be (over four deviations)
 
 
@@ -159,6 +160,7 @@ def links(ids: np.ndarray, sets: list[np.ndarray], left: int, t: tuple[int, int]
     return [(int(ids[x]), int(ids[y])) for x, y in forest(len(sets), a[keep], b[keep])]
 
 
+@bounded
 def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
@@ -174,7 +176,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), si
     scratch = Scratch(docs.sparkSession, "minhash")
     drawn = scratch.save(sketches(docs, size, id_col, text_col))
     reps = drawn.filter("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "head", "sketch")).alias("x"))
-    reps = scratch.save(reps.select("f1", "f2", F.col("x.id").alias("rep"), "n", F.col("x.head").alias("head"), F.col("x.sketch").alias("sketch")))
+    reps = scratch.save(reps.select("f1", "f2", F.col("x.id").alias("rep"), "n", F.col("x.head").alias("head"), F.col("x.sketch").alias("sketch")), drawn.count())
 
     # Lists of retained values.
     value = reps.select("rep", F.posexplode("head").alias("r", "v"))
@@ -185,7 +187,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), si
     mine = mine.join(reps.select("rep", "n", "head", "sketch"), "rep")
     mostly = 2 * F.size("often") >= F.size("head")
     keys = F.concat("rare", F.when(mostly, F.slice("often", 1, LISTS)).otherwise(F.array().cast("array<long>")))
-    member = scratch.save(mine.select(F.explode(keys).alias("v"), "rep", "n", "sketch"))
+    member = scratch.save(mine.select(F.explode(keys).alias("v"), "rep", "n", "sketch"), reps.count())
     held = member.groupBy("v").agg(F.count("*").alias("c"), F.min("rep").alias("least")).filter("c > 1")
     member = member.join(held, "v")
 
@@ -207,10 +209,11 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), si
     loose = small.mapInArrow(pairs, "a long, b long")
     # Frequent values' lists hold documents of little else: each is one loose cluster.
     loose = loose.unionByName(member.filter((F.col("c") > FREQUENT) & (F.col("rep") != F.col("least"))).select(F.col("least").alias("a"), F.col("rep").alias("b")))
-    cluster = components(loose, scratch).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    cluster = components(loose, scratch, member.count() // 4).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
 
     # Full sets of the clusters' documents, in blocks.
-    many = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sized = cluster.join(reps.select("rep", "n"), "rep")
+    many = sized.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_VALUES)).cast("int").alias("blocks"))
     place = cluster.join(many, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     text = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
 
@@ -220,10 +223,11 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), si
                 sets = pa.array([s.tobytes() for s in shingles(*words(data, at), size)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(4)), sets], ["c", "r", "b", "n", "s"])
 
-    place = scratch.save(place)
+    place = scratch.save(place, member.count() // 4)
+    near = place.count()
     text = IdFilter(place, "rep")(text, "rep")
     sets = place.hint("merge").join(text, "rep").select("cluster", "rep", "block", "blocks", "text")
-    sets = scratch.save(sets.mapInArrow(full, "cluster long, rep long, block int, blocks int, set binary"))
+    sets = scratch.save(sets.mapInArrow(full, "cluster long, rep long, block int, blocks int, set binary"), near, 2048)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of (cluster, i, j): rows with side 0, if any, against rows with side 1."""
@@ -238,20 +242,20 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), si
 
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     own = F.when(F.col("block") == 0, every).otherwise(F.array("block"))
-    first = scratch.save(meet(sets.select("cluster", "rep", "set", F.lit(0).alias("i"), F.explode(own).alias("j"), F.lit(1).alias("side"))))
+    first = scratch.save(meet(sets.select("cluster", "rep", "set", F.lit(0).alias("i"), F.explode(own).alias("j"), F.lit(1).alias("side"))), near, 2048)
 
     # In clusters of several blocks: what isn't in the main component meets everything.
-    wide = sets.filter("blocks > 1").join(components(first, scratch), F.col("rep") == F.col("node"), "left")
+    wide = sets.filter("blocks > 1").join(components(first, scratch, near), F.col("rep") == F.col("node"), "left")
     wide = wide.withColumn("component", F.coalesce("component", "rep")).drop("node")
     main = wide.groupBy("cluster", "component").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "component")).alias("x"), F.sum("c").alias("all"))
-    main = main.select("cluster", F.col("x.component").alias("main"), F.ceil((F.col("all") - F.col("x.c")) / BLOCK).cast("int").alias("outer"))
-    wide = wide.join(main, "cluster").filter("outer > 0")
+    main = main.select("cluster", F.col("x.component").alias("main"), (1 - F.col("x.c") / F.col("all")).alias("share"))
+    wide = wide.join(main, "cluster").withColumn("outer", F.ceil(F.col("share") * F.col("blocks")).cast("int")).filter("outer > 0")
     lot = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("outer")).cast("int")
     out0 = wide.filter("component != main").select("cluster", "rep", "set", lot.alias("i"), F.explode(every).alias("j"), F.lit(0).alias("side"))
     out1 = wide.select("cluster", "rep", "set", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
     second = meet(out0.unionByName(out1))
 
-    linked = components(first.unionByName(second), scratch)
+    linked = components(first.unionByName(second), scratch, 8 * near)
     of_class = reps.select("f1", "f2", "n", "rep").join(linked, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.col("n").alias("_n"), F.coalesce("component", "rep").alias("component"))
     out = drawn.select("id", "n", "f1", "f2").join(of_class.withColumnsRenamed({"f1": "g1", "f2": "g2"}), (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("_n")) & F.col("id").isNotNull(), "left")
     component = F.coalesce("component", "id")

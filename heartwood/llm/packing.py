@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import ranks_of
-from .common import Scratch, text_array
+from .common import Scratch, bounded, text_array
 
 CAPACITY = 2048
 END_ID = 0
@@ -35,6 +35,7 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
+@bounded
 def pieces(docs: DataFrame, rank_file: str, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]): each document's tokens and its end id, cut.
 
@@ -189,6 +190,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 2048
     return p
 
 
+@bounded
 def pack(parts: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
     """Every row of ``pieces`` with sequence_id and offset.
 

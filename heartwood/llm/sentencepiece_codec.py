@@ -15,7 +15,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_array
+from .common import bounded, text_array
 
 MARK = "▁"
 #: Chunks that a task remembers, and the longest one it keeps.
@@ -74,6 +74,7 @@ def codec_of(model_file: str) -> Codec:
     return Codec(model_file)
 
 
+@bounded
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of each row, with the end id.
 
@@ -90,6 +91,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, ids array<int>")
 
 
+@bounded
 def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256); nulls as in ``encode``."""
 
@@ -103,6 +105,7 @@ def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+@bounded
 def decode(rows: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text) of arrays of ids, by the library's decode; null gives an empty text."""
 

@@ -29,12 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import U64, Scratch, mix, slices, text_array
+from .common import U64, Scratch, bounded, mix, slices, text_array
 
 GRAM = 32  #: bytes of a gram
-FLUSH_BYTES = 48 << 20  #: of text whose stretches a task sends together
+FLUSH_BYTES = 16 << 20  #: of text whose stretches a task sends together
 SPLIT = 1000  #: distinct stretches from which on a minimiser is split by window
-BATCH = 60_000  #: suffixes that are sorted together
+SOLVE_ROWS = 5000  #: stretches that are taken together, and more while a group lasts
+BATCH = 40_000  #: suffixes that are sorted together
 _PLACE = (1 << 31) - 1
 
 
@@ -315,17 +316,18 @@ def removed(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(o[who]), pa.array(fp[who]), pa.array(p[who].astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["o", "fp", "p", "i", "n"])
 
         held: list[pa.RecordBatch] = []
+        n = 0
         for b in batches:
             if not b.num_rows:
                 continue
             h = b.column(0).to_numpy()
             end = int(np.searchsorted(h, h[-1]))  # the last group may go on in the next batch
-            if end or (held and held[-1].column(0)[-1].as_py() != h[0]):
-                rows = pa.Table.from_batches([*held, b.slice(0, end)])
-                held = []
-                if rows.num_rows:
-                    yield solve(rows)
-            held.append(b.slice(end))
+            n += b.num_rows
+            if n >= SOLVE_ROWS and (end or (held and held[-1].column(0)[-1].as_py() != h[0])):
+                yield solve(pa.Table.from_batches([*held, b.slice(0, end)]))
+                held, n = [], b.num_rows - end
+                b = b.slice(end)
+            held.append(b)
         if held:
             yield solve(pa.Table.from_batches(held))
 
@@ -374,6 +376,7 @@ def kept_bytes(raw: bytes, lo: list[int], hi: list[int]) -> bytes:
     return b"".join([raw[a:b] for a, b in zip([0, *hi], [*lo, len(raw)], strict=True)])
 
 
+@bounded
 def remove_repeats(docs: DataFrame, finish: Callable, schema: str, window: int = 100, id_col: str = "doc_id", text_col: str = "text", more: list[str] | None = None) -> DataFrame:
     """Rows of ``finish(text bytes, starts, ends, *more)`` for each row of docs.
 

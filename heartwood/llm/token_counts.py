@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_array
+from .common import bounded, text_array
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -101,6 +101,7 @@ def counter_of(model_file: str) -> Counter:
     return Counter(vocabulary(model_file))
 
 
+@bounded
 def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens) of each row's whole text.
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import U64, mix, slices, text_array
+from .common import U64, bounded, mix, slices, text_array
 
 #: Characters that part terms: the word separators and punctuation.
 APART = common.SEPARATOR.copy()
@@ -144,6 +144,7 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 3 == 1
 
 
+@bounded
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """A machine fitted on labelled rows that are not held out.
 
@@ -193,6 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     return fit(terms_kept, [np.array(r[2], np.int64) for r in got], np.array([r[1] for r in got], float), settings)
 
 
+@bounded
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of each row's whole text; null and empty texts score as having no term.
 
@@ -211,6 +213,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, score double")
 
 
+@bounded
 def keep_clean(docs: DataFrame, machine: Machine, reject: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose score is below ``reject``."""
     shared = docs.sparkSession.sparkContext.broadcast((machine.known, machine.bias, machine.weight, machine.factor))

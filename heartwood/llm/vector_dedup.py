@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, components
+from .common import Scratch, bounded, components
 from .minhash import forest, runs
 
 PASSES = 16
@@ -68,6 +68,7 @@ def cosines(a: list[bytes], b: list[bytes], code: str) -> np.ndarray:
     return out
 
 
+@bounded
 def near_duplicates(vectors: DataFrame, least: float = 0.95, passes: int = PASSES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per input row: id, n_links, component_id, kept.
 
@@ -82,7 +83,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, passes: int = PASSE
     scratch = Scratch(spark, "vectors")
     rows, code = usable(vectors, id_col, vector_col)
     rows = scratch.save(rows)
-    cls = scratch.save(rows.filter("vec is not null").groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("times")))
+    cls = scratch.save(rows.filter("vec is not null").groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("times")), rows.count())
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -130,7 +131,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, passes: int = PASSE
             yield pa.RecordBatch.from_arrays([pa.array([int(rep[a]) for a, _ in found], pa.int64()), pa.array([int(rep[b]) for _, b in found], pa.int64())], ["a", "b"])
 
     found = near.repartition("cell").sortWithinPartitions("cell", "own", "rep").mapInArrow(windows, "a long, b long")
-    reach = scratch.save(components(found, scratch))
+    reach = scratch.save(components(found, scratch, passes * cls.count() // 4), cls.count())
 
     # All pairs inside a component, block against block.
     size = reach.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
