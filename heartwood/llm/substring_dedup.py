@@ -12,8 +12,9 @@ windows with one minimiser form a stretch.
 3. The distinct stretches of one minimiser get a suffix array with common-prefix lengths.
    A stack scan lists its intervals of at least the window's length; those whose
    occurrences have different bytes before them are the maximal repeats, and all
-   occurrences but the earliest lose their windows. Minimisers with very many distinct
-   stretches are split by window first: equal windows are such an interval by themselves.
+   occurrences but the earliest lose their windows. Where a minimiser has very many
+   distinct stretches, they are first cut into shorter ones by minimisers of longer grams,
+   and at last into windows, so that only windows that share that much still meet.
 4. A document loses the windows of its repeating stretches that it doesn't own.
 """
 
@@ -33,32 +34,33 @@ from .common import U64, Scratch, bounded, mix, slices, text_array
 
 GRAM = 32  #: bytes of a gram
 FLUSH_BYTES = 16 << 20  #: of text whose stretches a task sends together
-SPLIT = 1000  #: distinct stretches from which on a minimiser is split by window
+SPLIT = 1000  #: distinct stretches from which on a minimiser's are cut by longer grams
+BROADCAST_KEYS = 1 << 18  #: minimisers (of 8 bytes) that are sent to all tasks at most
 SOLVE_ROWS = 5000  #: stretches that are taken together, and more while a group lasts
 BATCH = 40_000  #: suffixes that are sorted together
 _PLACE = (1 << 31) - 1
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
+def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """Hash of the gram at each start; grams may cross rows."""
     n = len(data)
-    if n < GRAM:
+    if n < gram:
         return np.zeros(0, U64)
     total = np.zeros(n + 1, U64)
     np.cumsum(common._BYTE[data] * common._power(common._P, n)[:n], out=total[1:])
-    return mix((total[GRAM:] - total[:-GRAM]) * common._power(common._P_INV, n)[: n - GRAM + 1])
+    return mix((total[gram:] - total[:-gram]) * common._power(common._P_INV, n)[: n - gram + 1])
 
 
-def stretches(data: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def stretches(data: np.ndarray, at: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, windows, offset of the minimiser, its hash) of each stretch of all rows."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < window:
         return none, none, none, np.zeros(0, U64)
-    h = gram_hashes(data)
+    h = gram_hashes(data, gram)
     # Ordered by leading hash bits, then by place, so that equal windows choose alike.
     key = (h & ~U64(_PLACE)) | np.arange(len(h), dtype=U64)
-    width, have = window - GRAM + 1, 1
+    width, have = window - gram + 1, 1
     while 2 * have <= width:
         key = np.minimum(key[:-have], key[have:])
         have *= 2
@@ -188,7 +190,7 @@ def repeating(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
 
     # Rows that repeat an id and a text are one document: any of them has its stretches.
     one = found.groupBy("flush").applyInArrow(by_row, "o long, fp long, start array<int>, windows array<int>, offset array<int>")
-    return scratch.save(one.groupBy("o", "fp").agg(F.min(F.struct("start", "windows", "offset")).alias("x")).select("o", "fp", "x.*"))
+    return scratch.save(one.groupBy("o", "fp").agg(F.min(F.struct("start", "windows", "offset")).alias("x")).select("o", "fp", "x.*"), docs.count())
 
 
 def maximal_repeats(length: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -279,9 +281,8 @@ def removed(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
     joined = docs.select("o", "fp", "text").join(occ, ["o", "fp"]).select("o", "fp", "text", "start", "windows", "offset")
     string = joined.mapInArrow(read, "h long, s binary, o long, fp long, p int")
-    distinct = scratch.save(string.groupBy("h", "s").agg(F.min(F.struct("o", "fp", "p")).alias("x")).select("h", "s", "x.*"))
-    many = distinct.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT).select("h")
-
+    first_of = lambda df: df.groupBy("h", "s").agg(F.min(F.struct("o", "fp", "p")).alias("x")).select("h", "s", "x.*")
+    distinct = scratch.save(first_of(string))
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by h: (o, fp, p, first, n), runs of windows that a stretch owns."""
 
@@ -331,12 +332,35 @@ def removed(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    few = distinct.join(many, "h", "left_anti").repartition("h").sortWithinPartitions("h")
-    mine = few.select("h", "s", "o", "fp", "p").mapInArrow(scan, "o long, fp long, p int, i int, n int")
-    # Too many stretches for one task: window by window, with a pre-aggregated minimum.
-    single = distinct.join(many, "h", "left_semi").select("h", "s", "o", "fp", "p", F.explode(F.sequence(F.lit(0), F.length("s") - window)).alias("i"))
-    single = single.groupBy("h", F.substring("s", F.col("i") + 1, F.lit(window)).alias("w")).agg(F.min(F.struct("o", "fp", (F.col("p") + F.col("i")).alias("q"), "p", "i")).alias("x"))
-    mine = mine.unionByName(single.select("x.o", "x.fp", "x.p", "x.i", F.lit(1).alias("n")))
+    def cut_by(gram: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                h, p = b.column(0).to_numpy().view(U64), b.column(4).to_numpy()
+                for lo, _, data, at in slices(b.column(1)):
+                    start, count, _, own = stretches(data, at, window, gram)
+                    row = np.searchsorted(at, start, "right") - 1
+                    raw, which = data.tobytes(), pa.array(lo + row)
+                    parts = [raw[i:j] for i, j in zip(start.tolist(), (start + count + window - 1).tolist(), strict=True)]
+                    at_doc = (p[lo + row] + start - at[row]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(mix(h[lo + row] ^ own).view(np.int64)), pa.array(parts, pa.binary()), b.column(2).take(which), b.column(3).take(which), pa.array(at_doc)], ["h", "s", "o", "fp", "p"])
+
+        return run
+
+    scanned = lambda df: df.select("h", "s", "o", "fp", "p").repartition("h").sortWithinPartitions("h").mapInArrow(scan, "o long, fp long, p int, i int, n int")
+    parts = []
+    for gram in ((GRAM + 2 * window) // 3, window):
+        many = distinct.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT).select("h")
+        keys = many.limit(BROADCAST_KEYS + 1).toArrow()
+        if not keys.num_rows:
+            break
+        if keys.num_rows <= BROADCAST_KEYS:  # else the stretches are shuffled to them
+            many = F.broadcast(docs.sparkSession.createDataFrame(keys))
+        parts.append(scanned(distinct.join(many, "h", "left_anti")))
+        finer = distinct.join(many, "h", "left_semi").select("h", "s", "o", "fp", "p").mapInArrow(cut_by(gram), "h long, s binary, o long, fp long, p int")
+        distinct = scratch.save(first_of(finer), keys.num_rows * 4 * SPLIT)
+    mine = scanned(distinct)
+    for x in parts:
+        mine = mine.unionByName(x)
     mine = mine.groupBy("o", "fp").agg(F.collect_list(F.struct("p", "i", "n")).alias("own"))  # at most a document's windows
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
