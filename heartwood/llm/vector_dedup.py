@@ -1,16 +1,20 @@
 """Embedding near-duplicates by sorted projection passes.
 
-Equal vectors form a class and go on as one. In each pass the classes are ordered by a
-concatenation of random hyperplane signs (lexicographically, ties by id); a class is
-compared with its block of the order and the block before, by cosine in double precision,
-and the pairs found are united across passes. Blocks are cut by rank, so equal or crowded
-signatures make no large group. The passes find the components; inside one, all pairs are
+Equal vectors form a class and go on as one. In each pass the classes are ordered by
+dimension and a concatenation of hyperplane signs (lexicographically, ties by id); a class
+is compared with its block of the order and the block before, by cosine in double
+precision, and the pairs found are united across passes. A plane halves the angle between
+two vectors of a sample, so what the vectors have in common doesn't crowd their signs.
+Blocks are cut by rank, so equal or crowded signatures make no large group. The first
+passes are as many as the number of classes and their mean cosine ask for; then rounds of
+passes follow until one joins no further components. Inside a component, all pairs are
 then counted in cells of two blocks, so that a component larger than a window loses no
 link. Only sums leave a cell, never pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +27,12 @@ from pyspark.sql import types as T
 from .common import Scratch, bounded, components
 from .minhash import forest, runs
 
-PASSES = 16
-SIGNS = 48  #: random hyperplanes of a pass
+PASSES = 16  #: at least, before the rounds that look for what these missed
+ROUND = 8  #: passes whose orders are held at once
+SIGNS = 48  #: hyperplanes of a pass
+SAMPLE = 768  #: classes that planes are taken from
+PLANNED = 64  #: passes at most before the first look for missed links; rounds have no bound
+MISS = 1e-4  #: share of linked pairs that the planned passes may miss
 BLOCK = 256  #: classes in a block of the order, and in a block of a component
 SEED = 17
 
@@ -68,6 +76,38 @@ def cosines(a: list[bytes], b: list[bytes], code: str) -> np.ndarray:
     return out
 
 
+def units(vecs: list[bytes], code: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(vecs), code).reshape(len(vecs), -1).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def planes(sample: list[bytes], size: int, code: str, turn: int) -> np.ndarray:
+    """The planes of round ``turn`` for vectors of ``size`` bytes, one a column; random ones
+    for a dimension that the sample has too seldom."""
+    have = [v for v in sample if len(v) == size]
+    rng = np.random.default_rng([SEED, size, turn])
+    if len(have) < 64:
+        return rng.normal(size=(size // np.dtype(code).itemsize, ROUND * SIGNS))
+    x = units(have, code)
+    a, b = rng.integers(0, len(x), (2, ROUND * SIGNS))
+    return (x[a] - x[b]).T
+
+
+def planned(classes: int, sample: list[bytes], code: str, least: float) -> int:
+    """Passes after which all but MISS of the pairs have shared a block, if the classes lie
+    evenly around their mean."""
+    crowd = 0.0
+    for size in {len(v) for v in sample}:
+        have = [v for v in sample if len(v) == size]
+        if len(have) >= 64:
+            crowd = max(crowd, float((units(have, code).mean(0) ** 2).sum()))
+    cosine = 1 - (1 - least) / max(1 - crowd, 1e-9)
+    stay = 1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    meet = stay ** max(0.0, math.log2(max(classes, 1) / BLOCK))
+    return PLANNED if meet < 0.1 else min(PLANNED, math.ceil(math.log(MISS) / math.log(1 - min(meet, 1 - MISS))))
+
+
 @bounded
 def near_duplicates(vectors: DataFrame, least: float = 0.95, passes: int = PASSES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per input row: id, n_links, component_id, kept.
@@ -85,53 +125,77 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, passes: int = PASSE
     rows = scratch.save(rows)
     cls = scratch.save(rows.filter("vec is not null").groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("times")), rows.count())
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        weight = (1 << np.arange(SIGNS - 1, -1, -1)).astype(np.int64)
-        for b in batches:
-            vec = b.column(1).to_pylist()
-            sign = np.zeros((len(vec), passes), np.int64)
-            for size in {len(v) for v in vec}:
-                i = np.flatnonzero([len(v) == size for v in vec])
-                x = np.frombuffer(b"".join(vec[k] for k in i), code).reshape(len(i), -1).astype(np.float64)
-                x /= np.abs(x).max(1, keepdims=True)
-                if size not in planes:
-                    planes[size] = np.random.default_rng([SEED, x.shape[1]]).normal(size=(x.shape[1], passes * SIGNS))
-                sign[i] = ((x @ planes[size]) > 0).reshape(len(i), passes, SIGNS) @ weight
-            for k in range(passes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vec), k, np.int32)), pa.array(sign[:, k]), b.column(0), b.column(1)], ["p", "s", "r", "v"])
-
-    order = cls.select("rep", "vec").mapInArrow(signed, "pass int, sign long, rep long, vec binary")
-    ordered = order.repartitionByRange("pass", "sign", "rep").sortWithinPartitions("pass", "sign", "rep")
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int32)), pa.array(n + np.arange(b.num_rows)), b.column(2), b.column(3)], ["q", "n", "r", "v"])
-            n += b.num_rows
-
-    ordered = scratch.save(ordered.mapInArrow(placed, "part int, n long, rep long, vec binary"))
-    counts = sorted(ordered.groupBy("part").count().collect())  # one row a partition
-    before = dict(zip([p for p, _ in counts], np.cumsum([0, *(c for _, c in counts)])[:-1].tolist(), strict=True))
-    start = F.create_map(*(F.lit(x) for kv in before.items() for x in kv)) if before else F.create_map(F.lit(0), F.lit(0))
-    block = F.floor((start[F.col("part")] + F.col("n")) / BLOCK)
-    near = ordered.select("rep", "vec", block.alias("own"))
-    near = near.select("rep", "vec", "own", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("cell"))
-    near = near.select("cell", (F.col("cell") == F.col("own")).cast("int").alias("own"), "rep", "vec")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in runs(batches, 1):
-            rep, vec, own = x["rep"].to_numpy(), x["vec"].to_pylist(), np.flatnonzero(x["own"].to_numpy() == 1)
-            if not len(own):
-                continue
-            i, j = np.nonzero(cosines([vec[k] for k in own], vec, code) >= least)
-            i = own[i]
-            keep = rep[i] != rep[j]
-            found = forest(len(rep), i[keep], j[keep])
-            yield pa.RecordBatch.from_arrays([pa.array([int(rep[a]) for a, _ in found], pa.int64()), pa.array([int(rep[b]) for _, b in found], pa.int64())], ["a", "b"])
-
-    found = near.repartition("cell").sortWithinPartitions("cell", "own", "rep").mapInArrow(windows, "a long, b long")
-    reach = scratch.save(components(found, scratch, passes * cls.count() // 4), cls.count())
+    classes = cls.count()
+    sample = [r.vec for r in cls.orderBy(F.xxhash64("rep", F.lit(SEED)), "rep").limit(SAMPLE).select("vec").collect()]
+    shared = spark.sparkContext.broadcast(sample)
+
+    def found_in(turn: int) -> DataFrame:
+        """(a, b): linked pairs of round ``turn`` that span what its windows join."""
+
+        def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of: dict[int, np.ndarray] = {}
+            weight = (1 << np.arange(SIGNS - 1, -1, -1)).astype(np.int64)
+            for b in batches:
+                vec = b.column(1).to_pylist()
+                sign, dim = np.zeros((len(vec), ROUND), np.int64), np.array([len(v) for v in vec], np.int32)
+                for size in set(dim.tolist()):
+                    i = np.flatnonzero(dim == size)
+                    if size not in of:
+                        of[size] = planes(shared.value, size, code, turn)
+                    sign[i] = ((units([vec[k] for k in i], code) @ of[size]) > 0).reshape(len(i), ROUND, SIGNS) @ weight
+                for k in range(ROUND):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vec), k, np.int32)), pa.array(dim), pa.array(sign[:, k]), b.column(0), b.column(1)], ["p", "d", "s", "r", "v"])
+
+        order = cls.select("rep", "vec").mapInArrow(signed, "pass int, dim int, sign long, rep long, vec binary")
+        ordered = order.repartitionByRange("pass", "dim", "sign", "rep").sortWithinPartitions("pass", "dim", "sign", "rep")
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, n = TaskContext.get().partitionId(), 0
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int32)), pa.array(n + np.arange(b.num_rows)), b.column(3), b.column(4)], ["q", "n", "r", "v"])
+                n += b.num_rows
+
+        ordered = scratch.save(ordered.mapInArrow(placed, "part int, n long, rep long, vec binary"))
+        counts = sorted(ordered.groupBy("part").count().collect())  # one row a partition
+        before = dict(zip([p for p, _ in counts], np.cumsum([0, *(c for _, c in counts)])[:-1].tolist(), strict=True))
+        start = F.create_map(*(F.lit(x) for kv in before.items() for x in kv)) if before else F.create_map(F.lit(0), F.lit(0))
+        block = F.floor((start[F.col("part")] + F.col("n")) / BLOCK)
+        near = ordered.select("rep", "vec", block.alias("own"))
+        near = near.select("rep", "vec", "own", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("cell"))
+        near = near.select("cell", (F.col("cell") == F.col("own")).cast("int").alias("own"), "rep", "vec")
+
+        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in runs(batches, 1):
+                rep, vec, own = x["rep"].to_numpy(), x["vec"].to_pylist(), np.flatnonzero(x["own"].to_numpy() == 1)
+                if not len(own):
+                    continue
+                i, j = np.nonzero(cosines([vec[k] for k in own], vec, code) >= least)
+                i = own[i]
+                keep = rep[i] != rep[j]
+                found = forest(len(rep), i[keep], j[keep])
+                yield pa.RecordBatch.from_arrays([pa.array([int(rep[a]) for a, _ in found], pa.int64()), pa.array([int(rep[b]) for _, b in found], pa.int64())], ["a", "b"])
+
+        found = near.repartition("cell").sortWithinPartitions("cell", "own", "rep").mapInArrow(windows, "a long, b long")
+        found = scratch.save(found, ROUND * classes // 4)
+        scratch.drop(ordered)
+        return found
+
+    need = max(passes, planned(classes, sample, code, least))
+    turns = -(-need // ROUND)
+    found = found_in(0)
+    for turn in range(1, turns):
+        found = found.unionByName(found_in(turn))
+    reach = scratch.save(components(found, scratch, need * classes // 4), classes)
+    while classes > BLOCK:
+        left, right = (reach.select(F.col("node").alias(x), F.col("component").alias(f"{x}_of")) for x in "ab")
+        new = found_in(turns).join(left, "a", "left").join(right, "b", "left")
+        new = new.select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")).filter("a != b")
+        new = scratch.save(new, classes)
+        if not new.count():
+            break
+        star = reach.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        reach = scratch.save(components(star.unionByName(new), scratch, classes), classes)
+        turns += 1
 
     # All pairs inside a component, block against block.
     size = reach.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

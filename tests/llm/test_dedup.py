@@ -180,6 +180,22 @@ def test_vectors(spark, monkeypatch):
     assert got == {i: (n[i], of[i], of[i] == i) for i, _ in rows}
 
 
+def test_vectors_that_crowd(spark, monkeypatch):
+    """Vectors around one direction, where a few passes of small blocks miss pairs."""
+    monkeypatch.setattr(vector_dedup, "BLOCK", 4)
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(0.8 * unit(rng.normal(size=(1, 32))) + 0.6 * unit(rng.normal(size=(2000, 32))))
+    y = unit(x[:200] + 0.3 * unit(rng.normal(size=(200, 32))))
+    x = np.concatenate([x, y]).astype(np.float32)
+    wide = unit(x.astype(np.float64))
+    hit = wide @ wide.T >= 0.95
+    np.fill_diagonal(hit, False)
+    assert hit.sum() >= 300
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(vectors(spark, list(enumerate(x.tolist())))).collect()}
+    assert [got[i] for i in range(len(x))] == hit.sum(1).tolist()
+
+
 def test_empty_tables(spark):
     none = frame(spark, [(1, "a")]).filter("false")
     assert exact_dedup.exact_duplicates(none).count() == 0
