@@ -4,9 +4,10 @@ Words and word pairs of the training documents are counted over the whole corpus
 task adds up its own, and sorted blocks of (hash, count) meet by leading hash bits. A
 count c is kept as its level 1 + floor(log2 c): the filter holds (n-gram, 1) up to (n-gram,
 level), and a lookup probes rising levels until one is missing. A bucket's n-grams fill
-their own stretch of the filter, so it is built in parallel; it is broadcast, and its
-bytes are bounded by ``Settings.max_filter_bytes``. A corpus with more n-grams than that
-bound has bits for loses precision (more false members), never n-grams.
+their own stretch of the filter, so it is built in parallel, with the same bits for each
+level at every size. Stretches are broadcast in parts of at most
+``Settings.max_filter_bytes``: where there are several, a round for each part notes the
+levels of the tokens whose n-grams it holds, and the last one scores.
 
 The exact unigram counts that the base score needs are broadcast for the frequent words
 (a bounded number of them) and joined by hash for the others.
@@ -15,7 +16,7 @@ The exact unigram counts that the base score needs are broadcast for the frequen
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ LEVELS = 64
 
 @dataclass(frozen=True)
 class Settings:
-    max_filter_bytes: int = 256 << 20  #: bound of the broadcast filter
-    bits: int = 8  #: of the filter for each level of each n-gram, while the bound allows
+    max_filter_bytes: int = 256 << 20  #: bound of the part of the filter that is broadcast at once
+    bits: int = 8  #: of the filter for each level of each n-gram
     hot_words: int = 1 << 20  #: bound of the broadcast words with exact counts
     flush_tokens: int = 2_000_000  #: that a task counts before it sends blocks
     trust: float = 0.2  #: weight of a pair's relative frequency; the rest is the unigram's
@@ -92,7 +93,7 @@ def build(keys: np.ndarray, counts: np.ndarray, s: Settings, buckets: int) -> tu
     """(stretch of the filter, probes) of one bucket."""
     level = level_of(counts)
     n = int(level.sum())
-    bits = max(64, min(n * s.bits, s.max_filter_bytes * 8 // buckets, 2**32 - 64)) // 64 * 64
+    bits = max(64, min(n * s.bits, 2**32 - 64)) // 64 * 64
     probes = int(np.clip(round(0.69 * bits / max(n, 1)), 1, 8))
     have = np.zeros(bits, bool)
     for j in range(1, int(level.max(initial=0)) + 1):
@@ -103,9 +104,11 @@ def build(keys: np.ndarray, counts: np.ndarray, s: Settings, buckets: int) -> tu
 
 
 class Filter:
-    def __init__(self, stretches: list[tuple[bytes, int]]):
-        """stretches: by bucket; their number is a power of two."""
-        self.shift = U64(64 - (len(stretches).bit_length() - 1))
+    def __init__(self, stretches: list[tuple[bytes, int]], first: int = 0, buckets: int | None = None):
+        """stretches: of the buckets from ``first`` on; ``buckets`` (all there are, if not
+        given as many as stretches) is a power of two. n-grams of others have level 0."""
+        self.first, self.buckets = first, buckets or len(stretches)
+        self.shift = U64(64 - (self.buckets.bit_length() - 1))
         self.bits = np.array([len(b) * 8 for b, _ in stretches], U64)
         self.start = np.concatenate([[0], np.cumsum(self.bits // U64(8))[:-1]]).astype(U64)
         self.probes = np.array([p for _, p in stretches])
@@ -115,9 +118,10 @@ class Filter:
         """The last level of a run of members from 1; 0 without one."""
         data = np.frombuffer(self.data, np.uint8)
         out = np.zeros(len(keys), np.int64)
-        alive = np.arange(len(keys))
+        of = (keys >> self.shift).astype(np.int64) - self.first if self.buckets > 1 else np.zeros(len(keys), np.int64)
+        alive = np.flatnonzero((of >= 0) & (of < len(self.probes)))
         for j in range(1, LEVELS):
-            bucket = (keys[alive] >> self.shift).astype(np.int64) if len(self.probes) > 1 else np.zeros(len(alive), np.int64)
+            bucket = of[alive]
             bits, start, probes = self.bits[bucket], self.start[bucket], self.probes[bucket]
             hit = np.ones(len(alive), bool)
             for i, p in enumerate(positions(keys[alive], j, bits, int(probes.max(initial=0)))):
@@ -131,7 +135,10 @@ class Filter:
 
 @dataclass
 class Model:
-    filter: Filter
+    filter: Filter | None  #: the part that is looked at; see filter_parts
+    stretches: DataFrame | None  #: (b, bits, probes); not broadcast
+    parts: list[tuple[int, int]]  #: first bucket and end of each part
+    buckets: int
     hot: np.ndarray  #: sorted hashes of the frequent words
     hot_count: np.ndarray
     total: int  #: tokens
@@ -192,7 +199,7 @@ def train(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", tex
     blocks = taught.mapInArrow(count, "b int, r long, w binary, wc binary, p binary, pc binary")
     schema = "b int, rows long, bits binary, probes int, w binary, wc binary, total long, by_level array<long>"
     merged = scratch.save(blocks.groupBy("b").applyInArrow(merge, schema))
-    found = {r.b: r for r in merged.select("b", "rows", "bits", "probes", "total", "by_level").collect()}
+    found = {r.b: r for r in merged.select("b", "rows", F.length("bits").alias("size"), "total", "by_level").collect()}
     by_level = sum((np.array(r.by_level) for r in found.values()), np.zeros(LEVELS, np.int64))
     least = LEVELS  # the lowest level whose words and those above are few enough
     while least > 1 and by_level[least - 1 :].sum() <= s.hot_words:
@@ -211,9 +218,15 @@ def train(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", tex
     hot = listed(True).toArrow()  # at most hot_words rows
     h, c = hot["h"].to_numpy().view(U64), hot["c"].to_numpy()
     order = np.argsort(h)
-    stretches = [(found[i].bits, found[i].probes) if i in found else (bytes(8), 1) for i in range(spread)]
+    parts, size = [(0, 0)], 0
+    for i in range(spread):
+        more = found[i].size if i in found else 8
+        if size and size + more > s.max_filter_bytes:
+            parts.append((i, i))
+            size = 0
+        parts[-1], size = (parts[-1][0], i + 1), size + more
     total, rows = sum(r.total for r in found.values()), sum(r.rows for r in found.values())
-    return Model(Filter(stretches), h[order], c[order], total, int(by_level.sum()), rows, s.trust), listed(False)
+    return Model(None, merged.select("b", "bits", "probes"), parts, spread, h[order], c[order], total, int(by_level.sum()), rows, s.trust), listed(False)
 
 
 def lookup(known: np.ndarray, count: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -224,21 +237,37 @@ def lookup(known: np.ndarray, count: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(known[ix] == h, count[ix], 0)
 
 
-def token_scores(m: Model, seq: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 probability of each token, its exact count where the word is a hot one)."""
+def filter_parts(m: Model) -> Iterator[Model]:
+    """m with each part of the filter in turn, without what can't be broadcast."""
+    for lo, hi in m.parts:
+        found = {r.b: (r.bits, r.probes) for r in m.stretches.filter(F.col("b").between(lo, hi - 1)).collect()}
+        yield replace(m, filter=Filter([found.get(i, (bytes(8), 1)) for i in range(lo, hi)], lo, m.buckets), stretches=None)
+
+
+def token_levels(m: Model, seq: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of each token's word (0 for hot ones) and pair that m's part of the filter has."""
     word, at = np.unique(seq, return_inverse=True)
+    rare = np.flatnonzero(lookup(m.hot, m.hot_count, word) == 0)
+    level = np.zeros(len(word), np.uint8)
+    level[rare] = m.filter.levels(word_key(word[rare]))
+    key, back = np.unique(pair_key(before, seq), return_inverse=True)
+    return level[at], m.filter.levels(key).astype(np.uint8)[back]
+
+
+def token_scores(m: Model, seq: np.ndarray, before: np.ndarray, word_level: np.ndarray, pair_level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 probability of each token, its exact count where the word is a hot one)."""
+    word, place, at = np.unique(seq, return_index=True, return_inverse=True)
     exact = lookup(m.hot, m.hot_count, word)
     rare = np.flatnonzero(exact == 0)
     guess = exact.copy()
-    guess[rare] = (1 << m.filter.levels(word_key(word[rare]))) >> 1
+    guess[rare] = (1 << word_level[place[rare]].astype(np.int64)) >> 1
     most = exact.copy()  # no less than the true count, as far as members are true
     most[rare] = np.maximum(2 * guess[rare] - 1, 0)
     single = (guess[at] + 1) / (m.total + m.distinct + 1)
     b = np.searchsorted(word, before)  # the token before is in this slice, or BEGIN
     b[b == len(word)] = 0
     history = np.where(before == BEGIN, m.rows, np.where(word[b] == before, most[b], 0))
-    key, back = np.unique(pair_key(before, seq), return_inverse=True)
-    pair = ((1 << m.filter.levels(key)) >> 1)[back]
+    pair = (1 << pair_level.astype(np.int64)) >> 1
     pair = np.minimum(pair, np.minimum(history, most[at]))
     trust = np.where(history > 0, m.trust, 0.0)
     return np.log10(trust * pair / np.maximum(history, 1) + (1 - trust) * single), exact[at]
@@ -253,7 +282,31 @@ def score(docs: DataFrame, model: Model, others: DataFrame, id_col: str = "doc_i
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm-score")
-    shared = spark.sparkContext.broadcast(model)
+    docs = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held"), F.col(text_col), F.lit(None).cast("binary").alias("words"), F.lit(None).cast("binary").alias("pairs"))
+
+    def levels(m: Model, b: pa.RecordBatch, lo: int, hi: int, seq: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of all parts up to m's; an n-gram is in one of them."""
+        out = token_levels(m, seq, before)
+        old = [b"".join(x or b"" for x in b.column(k).slice(lo, hi - lo).to_pylist()) for k in (3, 4)]
+        return tuple(np.maximum(x, np.frombuffer(y, np.uint8)) if y else x for x, y in zip(out, old, strict=True))
+
+    def noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            for lo, hi, data, at in slices(text_array(b.column(2))):
+                seq, before, start = tokens(data, at)
+                cut = [pa.array([x[i:j].tobytes() for i, j in zip(start[:-1], start[1:], strict=True)], pa.binary()) for x in levels(m, b, lo, hi, seq, before)]
+                yield pa.RecordBatch.from_arrays([b.column(k).slice(lo, hi - lo) for k in range(3)] + cut, ["id", "held", "text", "words", "pairs"])
+
+    parts, last = filter_parts(model), None
+    for _ in model.parts[:-1]:
+        shared = spark.sparkContext.broadcast(next(parts))
+        docs = scratch.save(docs.mapInArrow(noted, docs.schema))
+        shared.unpersist()
+        if last is not None:
+            scratch.drop(last)
+        last = docs
+    shared = spark.sparkContext.broadcast(next(parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, task = shared.value, TaskContext.get().partitionId() << 36
@@ -261,7 +314,7 @@ def score(docs: DataFrame, model: Model, others: DataFrame, id_col: str = "doc_i
         for b in batches:
             for lo, hi, data, at in slices(text_array(b.column(2))):
                 seq, before, start = tokens(data, at)
-                logp, exact = token_scores(m, seq, before)
+                logp, exact = token_scores(m, seq, before, *levels(m, b, lo, hi, seq, before))
                 row = np.repeat(np.arange(hi - lo), np.diff(start))
                 known = exact > 0
                 base = np.bincount(row, np.log10(exact + 1.0), hi - lo)
@@ -281,7 +334,7 @@ def score(docs: DataFrame, model: Model, others: DataFrame, id_col: str = "doc_i
                 done += hi - lo
 
     schema = "row long, id long, held boolean, n long, known long, base double, score double, h array<long>, times array<long>"
-    rows = scratch.save(docs.select(F.col(id_col), held_out(F.col(id_col)), F.col(text_col)).mapInArrow(run, schema))
+    rows = scratch.save(docs.mapInArrow(run, schema))
     rest = rows.select("row", F.explode(F.arrays_zip("h", "times")).alias("x")).select("row", F.col("x.h").alias("h"), F.col("x.times").alias("times"))
     # A word that training lacks adds log10(1) = 0 and isn't known, so it needs no row here.
     rest = rest.join(others, "h").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"), F.sum("times").alias("also"))

@@ -64,6 +64,15 @@ def test_lm_prefers_known_text(spark, rows):
     assert sum(r.score for r in got) > sum(r.base_score for r in got) and all(r.score <= 0 for r in got)
 
 
+def test_lm_scores_do_not_depend_on_the_broadcast_bound(spark, rows):
+    got = []
+    for most in (256 << 20, 1500):
+        model, others = lm_score.train(frame(spark, rows), lm_score.Settings(max_filter_bytes=most, hot_words=8))
+        got.append((len(model.parts), collections.Counter((r.doc_id, r.n_tokens, round(r.score, 9)) for r in lm_score.score(frame(spark, rows), model, others).collect())))
+    assert got[0][0] == 1 and 1 < got[1][0] < 8
+    assert got[0][1] == got[1][1]
+
+
 def test_lm_without_training(spark):
     none = frame(spark, [(1, "a")]).filter("false")
     model, others = lm_score.train(none)
