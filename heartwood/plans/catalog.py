@@ -510,9 +510,11 @@ def _aged(spark: SparkSession, d: str) -> DataFrame:
 def pair_theta_join(spark: SparkSession, d: str) -> DataFrame:
     p = _aged(spark, d)
     men, women = p.filter("k % 4 = 0").select(F.col("handle").alias("father"), F.col("y").alias("fy")), p.filter("k % 4 = 1").select(F.col("handle").alias("mother"), F.col("y").alias("my"))
-    met = generate.range_join(men, women, "my", F.col("fy") - 20, F.col("fy") + 20, 40).filter("fy + 16 <= my + 50")
-    best = met.groupBy("father").agg(F.min(F.struct(F.abs(F.col("fy") - F.col("my")).alias("gap"), "mother")).alias("x"), F.count("*").alias("choices"))
-    return best.select("father", "x.mother", "choices")
+    # Years meet, not people: of each year the first woman and the number of them.
+    first = women.groupBy("my").agg(F.min("mother").alias("mother"), F.count("*").alias("n"))
+    met = generate.range_join(men.select("fy").distinct(), first, "my", F.col("fy") - 20, F.col("fy") + 20, 40).filter("fy + 16 <= my + 50")
+    best = met.groupBy("fy").agg(F.min(F.struct(F.abs(F.col("fy") - F.col("my")).alias("gap"), "mother")).alias("x"), F.sum("n").alias("choices"))
+    return men.join(best, "fy").select("father", "x.mother", "choices")
 
 
 @query(f"""WITH m AS (SELECT a.handle AS mother, b.handle AS child, row_number() OVER (PARTITION BY a.handle ORDER BY b.y, b.handle) AS r FROM {_AGED} a JOIN {_AGED} b ON a.k % 10 = 0 AND b.k % 3 = 1 AND b.y > a.y + 16 AND b.y < a.y + 50)
@@ -520,9 +522,11 @@ def pair_theta_join(spark: SparkSession, d: str) -> DataFrame:
 def child_range_join(spark: SparkSession, d: str) -> DataFrame:
     p = _aged(spark, d)
     mothers, young = p.filter("k % 10 = 0").select(F.col("handle").alias("mother"), F.col("y").alias("my")), p.filter("k % 3 = 1").select(F.col("handle").alias("child"), F.col("y").alias("cy"))
-    met = generate.range_join(mothers, young, "cy", F.col("my") + 17, F.col("my") + 49, 16)
-    first = met.withColumn("r", F.row_number().over(Window.partitionBy("mother").orderBy("cy", "child")))
-    return first.filter("r <= 3").select("mother", "child")
+    # Years meet, not people: of each year the first three children.
+    few = young.withColumn("r", F.row_number().over(Window.partitionBy("cy").orderBy("child"))).filter("r <= 3").drop("r")
+    met = generate.range_join(mothers.select("my").distinct(), few, "cy", F.col("my") + 17, F.col("my") + 49, 16)
+    first = met.withColumn("r", F.row_number().over(Window.partitionBy("my").orderBy("cy", "child"))).filter("r <= 3")
+    return mothers.join(first, "my").select("mother", "child")
 
 
 _PEOPLE = "p AS (SELECT 'C' || c_custkey AS handle, c_custkey AS k, row_number() OVER (ORDER BY c_custkey) AS r, count(*) OVER () AS n FROM customer)"

@@ -214,3 +214,34 @@ def test_range_join_equals_the_condition(spark):
     b = [(i, rng.randint(0, 260)) for i in range(80)]
     got = generate.range_join(spark.createDataFrame(a, "i int, lo int, w int"), spark.createDataFrame(b, "j int, v int"), "v", F.col("lo"), F.col("lo") + F.col("w") - 5, 30)
     assert result(got.select("i", "j")) == sorted((i, j) for i, lo, w in a for j, v in b if lo <= v <= lo + w - 5)
+
+
+def _most_rows(plan):
+    """The largest number of rows that a node of an executed plan made."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _most_rows(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _most_rows(plan.plan())
+    made = plan.metrics().get("numOutputRows")
+    kids = plan.children()
+    return max([made.get().value() if made.isDefined() else 0, *(_most_rows(kids.apply(i)) for i in range(kids.size()))])
+
+
+@pytest.mark.parametrize("name", ["pair_theta_join", "child_range_join"])
+def test_range_joins_meet_by_year(spark, tmp_path, name):
+    from heartwood.plans import catalog
+
+    spark.range(1, 4001).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    got = catalog.QUERIES[name](spark, str(tmp_path))
+    rows = sorted(map(tuple, got.collect()))
+    assert _most_rows(got._jdf.queryExecution().executedPlan()) <= 30_000
+    year = lambda k: 1900 + k % 83
+    want = []
+    for a in range(1, 4001):
+        if name == "pair_theta_join" and a % 4 == 0:
+            near = [(abs(year(a) - year(b)), f"C{b}") for b in range(1, 4001, 4) if abs(year(a) - year(b)) <= 20 and year(a) + 16 <= year(b) + 50]
+            want += [(f"C{a}", min(near)[1], len(near))] if near else []
+        if name == "child_range_join" and a % 10 == 0:
+            want += [(f"C{a}", c) for _, c in sorted((year(b), f"C{b}") for b in range(1, 4001, 3) if year(a) + 16 < year(b) < year(a) + 50)[:3]]
+    assert rows == sorted(want)
