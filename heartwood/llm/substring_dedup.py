@@ -105,7 +105,7 @@ def repeating(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
             start, count, off, h = (np.concatenate(x) for x in zip(*keep, strict=True))
             _, back, times = np.unique(h, return_inverse=True, return_counts=True)
             known = times[back] > 1
-            bucket = (h >> shift).astype(np.int64) if spread > 1 else np.zeros(len(h), np.int64)
+            bucket = (mix(h) >> shift).astype(np.int64)  # a minimiser's own leading bits are mostly zeros
             # One of a known gram tells its bucket; the others may go anywhere.
             lead = np.zeros(len(h), bool)
             lead[np.unique(back, return_index=True)[1]] = True
@@ -116,12 +116,13 @@ def repeating(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
             start, count, off, h, known = (x[order] for x in (start, count, off, h, known))
             short = np.ascontiguousarray((h & low).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
             cols: list[list] = [[], [], [], [], []]
-            for i in range(spread):
+            some = np.flatnonzero(np.diff(edge))  # of a wide spread a task fills few
+            for i in some.tolist():
                 part = slice(edge[i], edge[i + 1])
                 gap = np.diff(start[part], prepend=0).astype("<u4")
                 for c, x in zip(cols, (short[part], np.ascontiguousarray(gap.view(np.uint8).reshape(-1, 4).T), count[part].astype(np.uint8), off[part].astype(np.uint8), known[part].astype(np.uint8)), strict=True):
                     c.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(spread, dtype=np.int32)), pa.array(np.full(spread, flush_id)), *(pa.array(c, pa.binary()) for c in cols)], ["b", "f", "h", "g", "c", "m", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), flush_id)), *(pa.array(c, pa.binary()) for c in cols)], ["b", "f", "h", "g", "c", "m", "k"])
             at, o, fp = (np.concatenate(x) for x in zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array([int(flush_id % spread)], pa.int32()), pa.array([-1 - flush_id], pa.int64()), *(pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in (at, o, fp)), pa.array([b""], pa.binary()), pa.array([b""], pa.binary())], ["b", "f", "h", "g", "c", "m", "k"])
 
