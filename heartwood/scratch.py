@@ -29,14 +29,16 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
+        self.wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.top = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
 
     def save(self, df: DataFrame, rows: int | None = None, per_file: int = 32_768) -> DataFrame:
         """``rows``: about how many there will be, where that is known; a small table then
-        makes few files (and tasks), whatever the number of shuffle partitions."""
-        if rows is not None:
-            df = df.coalesce(max(1, -(-rows // per_file)))
+        makes few files, whatever the number of shuffle partitions. It is dealt out to them
+        by one more exchange, so what makes the rows keeps its own partitions."""
+        if rows is not None and 2 * (files := max(1, -(-rows // per_file))) < self.wide:
+            df = df.repartition(files)
         path = f"{self.top}/{len(self.paths)}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
