@@ -26,8 +26,7 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm_score
 
     docs = _table(spark, sf_dir, "documents")
-    model, others = lm_score.train(docs)
-    return lm_score.score(docs, model, others)
+    return lm_score.score(docs, lm_score.train(docs))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +67,8 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
-    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken")))
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(packing.pieces(docs, vocabulary("byte_bpe_50k.tiktoken")), rows=docs.count())
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

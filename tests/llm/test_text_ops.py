@@ -38,47 +38,77 @@ def held(i):
     return i is None or zlib.crc32(str(i).encode()) % 7 == 2
 
 
-def test_lm_base_score_is_exact(spark, rows):
-    for hot in (1 << 20, 8):  # all words broadcast, and few with the rest joined
-        model, others = lm_score.train(frame(spark, rows), lm_score.Settings(hot_words=hot))
-        got = collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in lm_score.score(frame(spark, rows), model, others).collect())
-        c = collections.Counter(w for i, t in rows if not held(i) for w in tokens(t))
-        n, v = sum(c.values()), len(c)
-        assert (model.total, model.distinct) == (n, v) and len(model.hot) <= max(hot, 0 if hot < 16 else v)
-        want = collections.Counter((i, held(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)), 6)) for i, t in rows)
-        assert got == want
+def scored(docs, model):
+    return collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm_score.score(docs, model).collect())
+
+
+def plain_scores(rows):
+    """Words and pairs counted exactly, then scored by the powers of two below their counts."""
+    c, pairs = collections.Counter(), collections.Counter()
+    taught = [tokens(t) for i, t in rows if not held(i)]
+    for w in taught:
+        c.update(w)
+        pairs.update(zip([None, *w], w, strict=False))
+    n, v = sum(c.values()), len(c)
+    low = lambda x: 1 << (x.bit_length() - 1) if x else 0
+    high = lambda x: 2 * low(x) - 1 if x else 0
+
+    def p(before, w):
+        past = len(taught) if before is None else high(c[before])
+        single = (low(c[w]) + 1) / (n + v + 1)
+        return 0.2 * min(low(pairs[before, w]), past, high(c[w])) / past + 0.8 * single if past else single
+
+    out = collections.Counter()
+    for i, t in rows:
+        w = tokens(t)
+        base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)
+        out[i, held(i), len(w), sum(c[x] > 0 for x in w), n, round(base, 6), round(sum(math.log10(p(a, b)) for a, b in zip([None, *w], w, strict=False)), 6)] += 1
+    return out
+
+
+@pytest.mark.parametrize("settings", [{}, {"hot_words": 8}, {"max_filter_bytes": 0}, {"max_filter_bytes": 0, "hot_words": 8, "flush_tokens": 300}])
+def test_lm_equals_a_plain_model(spark, rows, settings):
+    """With so many bits that no membership is false: all words broadcast and few, the
+    filter broadcast and probed where it is."""
+    docs = frame(spark, rows).repartition(3)
+    assert scored(docs, lm_score.train(docs, lm_score.Settings(bits=256, **settings))) == plain_scores(rows)
+
+
+def test_lm_does_not_depend_on_the_broadcast_bound(spark, rows):
+    """With few bits, so that false members count, too."""
+    docs = frame(spark, rows)
+    got = [scored(docs, lm_score.train(docs, lm_score.Settings(bits=2, max_filter_bytes=most))) for most in (1 << 20, 0)]
+    assert got[0] == got[1] != plain_scores(rows)
+
+
+@pytest.mark.parametrize("bits", [1, 0])
+def test_lm_with_a_crowded_filter(spark, rows, bits):
+    """Where almost everything seems a member, scores are still those of probabilities."""
+    docs = frame(spark, rows)
+    got = lm_score.score(docs, lm_score.train(docs, lm_score.Settings(bits=bits))).collect()
+    assert len(got) == len(rows) and all(math.isfinite(r.score) and r.score <= 0 for r in got)
 
 
 def test_lm_filter_has_no_false_negative(spark):
     keys = lm_score.mix(np.arange(1, 5000, dtype=np.uint64))
     counts = np.random.default_rng(0).geometric(0.2, len(keys))
-    f = lm_score.Filter([lm_score.build(keys, counts, lm_score.Settings(), 1)])
+    f = lm_score.Filter([lm_score.build(keys, counts, lm_score.Settings())])
     level = f.levels(keys)
     assert (level >= lm_score.level_of(counts)).all() and (level == lm_score.level_of(counts)).mean() > 0.9
     assert (f.levels(lm_score.mix(np.arange(10_000, 20_000, dtype=np.uint64))) == 0).mean() > 0.95
 
 
 def test_lm_prefers_known_text(spark, rows):
-    model, others = lm_score.train(frame(spark, rows))
-    got = [r for r in lm_score.score(frame(spark, rows), model, others).collect() if not r.held_out]
-    assert sum(r.score for r in got) > sum(r.base_score for r in got) and all(r.score <= 0 for r in got)
-
-
-def test_lm_scores_do_not_depend_on_the_broadcast_bound(spark, rows):
-    got = []
-    for most in (256 << 20, 1500):
-        model, others = lm_score.train(frame(spark, rows), lm_score.Settings(max_filter_bytes=most, hot_words=8))
-        got.append((len(model.parts), collections.Counter((r.doc_id, r.n_tokens, round(r.score, 9)) for r in lm_score.score(frame(spark, rows), model, others).collect())))
-    assert got[0][0] == 1 and 1 < got[1][0] < 8
-    assert got[0][1] == got[1][1]
+    got = [r for r in lm_score.score(frame(spark, rows), lm_score.train(frame(spark, rows))).collect() if not r.held_out]
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
 def test_lm_without_training(spark):
     none = frame(spark, [(1, "a")]).filter("false")
-    model, others = lm_score.train(none)
-    assert lm_score.score(none, model, others).count() == 0
-    (r,) = lm_score.score(frame(spark, [(1, "a b")]), model, others).collect()
-    assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
+    model = lm_score.train(none)
+    assert lm_score.score(none, model).count() == 0
+    (r,) = lm_score.score(frame(spark, [(1, "a b")]), model).collect()
+    assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
 
 
 def test_token_counts_equal_the_unigram_tokenizer(spark, rows):
@@ -110,7 +140,7 @@ def test_packing(spark, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    rows = [*rows, (400, "a<|endoftext|>b <|endoftext|><|endoftext|> \n\n x"), (401, "it's  we'll\t\x00\x85 <|endoftext| > '"), (402, "<|endoftext|>")]
     docs = frame(spark, rows)
     got = packing.pack(packing.pieces(docs, RANKS)).collect()
     want = collections.Counter()
