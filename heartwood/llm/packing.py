@@ -25,6 +25,7 @@ from .common import Scratch, bounded, text_array
 
 CAPACITY = 2048
 END_ID = 0
+FILE_ROWS = 32_768  #: rows of the result from which on it takes another file
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -39,8 +40,10 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, rank_file: str, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]): each document's tokens and its end id, cut.
 
-    Null and empty texts are the end id alone; null ids and repeated rows are carried
-    through; an empty table gives no rows; other columns are not read.
+    Ids are those of the vocabulary's JSON tokenizer at its default setting, so the string
+    of its added token in a text is that token. Null and empty texts are the end id alone;
+    null ids and repeated rows are carried through; long texts are encoded whole; an empty
+    table gives no rows; other columns are not read.
     """
     schema = f"{id_col} long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
@@ -49,7 +52,7 @@ def pieces(docs: DataFrame, rank_file: str, capacity: int = CAPACITY, with_ids:
         for b in batches:
             out: list[tuple] = []
             for i, text in zip(b.column(0).to_pylist(), text_array(b.column(1)).to_pylist(), strict=True):
-                ids = np.append(enc.encode_to_numpy(text, disallowed_special=()), END_ID).astype("<u4")
+                ids = np.append(enc.encode_to_numpy(text, allowed_special="all"), END_ID).astype("<u4")
                 for k, (s, n) in enumerate(cuts(len(ids), capacity)):
                     part = ids[s : s + n]
                     out.append((i, k, s, n, zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if with_ids else [])))
@@ -191,17 +194,20 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 2048
 
 
 @bounded
-def pack(parts: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
-    """Every row of ``pieces`` with sequence_id and offset.
+def pack(parts: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", rows: int | None = None) -> DataFrame:
+    """Every row of ``pieces`` with sequence_id and offset. ``rows``: about how many there
+    are, if known; few then lie in few files.
 
     Rows of one length are ranked within buckets of hashed ids, and the buckets' counts
     are added up, so a frequent length is no hot key. Only the histogram (one row for each
-    length up to the capacity) comes to the driver; the plan is broadcast.
+    length up to the capacity) comes to the driver; the plan is broadcast. Null ids and
+    repeated rows are pieces like any others; an empty table gives no rows; other columns
+    stay.
     """
     spark = parts.sparkSession
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     scratch = Scratch(spark, "packing")
-    parts = scratch.save(parts.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)).cast("int")))
+    parts = scratch.save(parts.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)).cast("int")), rows)
     counts = parts.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -212,6 +218,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
     order = Window.partitionBy("length", "_bucket").orderBy(id_col, "piece", "start", "ids_crc32")
     ranked = parts.withColumn("_rank", F.row_number().over(order)).join(counts, ["length", "_bucket"])
     ranked = ranked.select(*[c for c in parts.columns if c != "_bucket"], (F.col("_before") + F.col("_rank") - 1).alias("_rank"))
+    if 2 * (few := sum(histogram.values()) // FILE_ROWS + 1) < buckets:
+        ranked = ranked.coalesce(few)
     names = [c for c in ranked.columns if c != "_rank"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
