@@ -6,14 +6,17 @@ partitions and survive a recomputed task.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_value
 from ..scratch import Scratch
 from . import graph
+from .rank import first_share, numbered
 
 MIN_PARENT, MAX_MOTHER, PAIR_GAP = 16, 50, 20
 
@@ -22,6 +25,7 @@ MIN_PARENT, MAX_MOTHER, PAIR_GAP = 16, 50, 20
 class Config:
     persons: int = 200
     family_ratio: float = 0.5
+    max_parent_roles: int = 1
     generations: int = 3
     children: tuple[int, int] = (1, 4)  #: from, up to but without
     years: tuple[int, int] = (1850, 2025)
@@ -60,7 +64,7 @@ def load_scenario(values: dict) -> Scenario:
     extra = {k: v for n in names for k, v in STRATEGIES[n].items()}
     config = Config(
         persons=values.get("person_count", base.persons), family_ratio=values.get("family_ratio", base.family_ratio), generations=gen.get("depth", base.generations),
-        children=(kids.get("min", base.children[0]), kids.get("max", base.children[1])), years=(span.get("start", base.years[0]), span.get("end", base.years[1])),
+        max_parent_roles=values.get("max_parent_roles", base.max_parent_roles), children=(kids.get("min", base.children[0]), kids.get("max", base.children[1])), years=(span.get("start", base.years[0]), span.get("end", base.years[1])),
         places=values.get("with_places", False), citations=values.get("with_citations", False), seed=values.get("seed", 0), **extra,
     )
     return Scenario(config, names, dens.get("target_connectivity", 0.85) if dens.get("enabled") else None, dens.get("max_parent_roles", 3))
@@ -120,46 +124,96 @@ def range_join(left: DataFrame, right: DataFrame, value: str, low: Column, high:
     return l.join(r, "_bin").filter(F.col(value).between(F.col("_low"), F.col("_high"))).drop("_bin", "_low", "_high")
 
 
-def couples(people: DataFrame, c: Config, limit: int) -> DataFrame:
-    """(father, mother, ...): each man with a woman of his layer or the next ones whose age
-    is close enough, nearest first by a hashed order; each person at most once."""
-    can = people.filter("not solo")
-    men = can.filter("gender = 0").select(F.col("handle").alias("father"), F.col("birth_year").alias("father_year"), F.col("layer").alias("father_layer"))
-    women = can.filter("gender = 1").select(F.col("handle").alias("mother"), F.col("birth_year").alias("mother_year"), F.col("layer").alias("mother_layer"))
-    met = range_join(men, women, "mother_year", F.col("father_year") - PAIR_GAP, F.col("father_year") + PAIR_GAP, 2 * PAIR_GAP)
-    met = met.filter((F.abs(F.col("father_layer") - F.col("mother_layer")) <= 1) & (F.col("father_year") + MIN_PARENT <= F.col("mother_year") + MAX_MOTHER))
-    order = [F.abs(F.col("father_layer") - F.col("mother_layer")), roll(c.seed, "pair", F.col("father"), F.col("mother")), F.col("father"), F.col("mother")]
-    met = met.withColumn("_f", F.row_number().over(Window.partitionBy("father").orderBy(*order))).filter("_f <= 10")
-    # The two best for each other pair up; a person that loses stays single.
-    met = met.withColumn("_m", F.row_number().over(Window.partitionBy("mother").orderBy(F.col("_f"), *order))).filter("_m = 1")
-    met = met.withColumn("_g", F.row_number().over(Window.partitionBy("father").orderBy(F.col("_f"), *order))).filter("_g = 1")
-    return met.orderBy(roll(c.seed, "keep", F.col("father")), "father").limit(limit).drop("_f", "_m", "_g")
-
-
-def children(families: DataFrame, people: DataFrame, c: Config) -> DataFrame:
+def couples(people: DataFrame, c: Config, limit: int, scratch: Scratch) -> DataFrame:
+    """(family, father, father_year, mother, mother_year): at most ``limit`` couples.
+
+    In each round people who may still be a parent stand in bins of their layer and of
+    ``PAIR_GAP`` years of birth, men and women in hashed orders, and those in equal places
+    pair up; any two of a bin are close enough in age. The bins move from round to round,
+    and join neighbouring layers in every second one. A round in which nobody pairs is
+    followed by one over all closest pairs left; the rounds end with the limit, or when
+    that finds none either. Nobody is a parent more than ``max_parent_roles`` times, and
+    no couple comes twice.
+    """
+    can = scratch.save(people.filter("not solo and gender in (0, 1)").select("handle", "gender", "birth_year", "layer"))
+    schema = "family string, father string, father_year int, mother string, mother_year int"
+    made, n, idle, turn = scratch.save(people.sparkSession.createDataFrame([], schema)), 0, 0, 0
+    limit = min(limit, c.persons * c.max_parent_roles // 2)
+    while n < limit and idle < 4:
+        roles = made.select(F.explode(F.array("father", "mother")).alias("handle")).groupBy("handle").agg(F.count("*").alias("roles"))
+        free = can.join(roles, "handle", "left").filter(F.coalesce("roles", F.lit(0)) < c.max_parent_roles)
+        key, hashed = F.col("handle"), roll(c.seed, f"pair{turn}", F.col("handle"))
+        if idle < 3:
+            layer = F.floor((F.col("layer") + turn // 2 % 2) / 2) if turn % 2 else F.col("layer")
+            bin_ = [layer.alias("_layer"), F.floor((F.col("birth_year") + turn * 7 % PAIR_GAP) / PAIR_GAP).alias("_bin")]
+            placed = free.select("*", *bin_).withColumn("_lot", F.pmod(F.xxhash64(F.lit(c.seed + turn), key), F.lit(max(1, c.persons // 50_000))))
+            placed = placed.withColumn("_place", F.row_number().over(Window.partitionBy("_layer", "_bin", "_lot", "gender").orderBy(hashed, "handle")))
+            side = lambda g, who: placed.filter(F.col("gender") == g).select("_layer", "_bin", "_lot", "_place", F.col("handle").alias(who), F.col("birth_year").alias(f"{who}_year"))
+            met = side(0, "father").join(side(1, "mother"), ["_layer", "_bin", "_lot", "_place"])
+        else:
+            side = lambda g, who: free.filter(F.col("gender") == g).select(F.col("handle").alias(who), F.col("birth_year").alias(f"{who}_year"), F.col("layer").alias(f"{who}_layer"))
+            met = range_join(side(0, "father"), side(1, "mother"), "mother_year", F.col("father_year") - PAIR_GAP, F.col("father_year") + PAIR_GAP, 2 * PAIR_GAP)
+            met = met.filter(F.abs(F.col("father_layer") - F.col("mother_layer")) <= 1)
+        met = met.filter(F.col("father_year") + MIN_PARENT <= F.col("mother_year") + MAX_MOTHER).join(made.select("father", "mother"), ["father", "mother"], "left_anti")
+        if idle == 3:  # the closest for each other
+            order = [F.abs(F.col("father_year") - F.col("mother_year")), roll(c.seed, "close", F.col("father"), F.col("mother")), F.col("father"), F.col("mother")]
+            met = met.withColumn("_f", F.row_number().over(Window.partitionBy("father").orderBy(*order))).filter("_f = 1")
+            met = met.withColumn("_m", F.row_number().over(Window.partitionBy("mother").orderBy(*order))).filter("_m = 1")
+        met = scratch.save(met.select(F.concat_ws("-", F.concat(F.lit("F"), F.col("father")), *([F.lit(str(turn))] if c.max_parent_roles > 1 else [])).alias("family"), "father", "father_year", "mother", "mother_year"))
+        found = met.count()
+        if n + found > limit:
+            met, _ = numbered(met.withColumn("_r", roll(c.seed, "keep", F.col("family"))), ["_r", "family"], scratch)
+            met, found = met.filter(F.col("place") < limit - n).drop("_r", "place"), limit - n
+        made = scratch.save(made.unionByName(met))
+        n, turn, idle = n + found, turn + 1, 0 if found else idle + 1
+    return made
+
+
+def children(families: DataFrame, people: DataFrame, c: Config, scratch: Scratch) -> DataFrame:
     """(family, child): of those born from 16 years after both parents to 50 after the
-    mother, each with one family, as many as the family has room for."""
+    mother, as many as the family has room for, each with one family.
+
+    In each round every open place stands in all years of its parents' range, and the
+    children left in the year of their birth, each year in hashed orders; those in equal
+    places meet, and a place keeps one of the children it met. So a round lists as many
+    rows as there are years to a place, never pairs of families and children, and the
+    rounds end when no year has both.
+    """
     low = F.greatest(F.coalesce("father_year", "mother_year"), F.coalesce("mother_year", "father_year")) + MIN_PARENT + 1
     high = F.coalesce("mother_year", "father_year") + MAX_MOTHER - 1
+    want = (c.children[0] + F.floor(roll(c.seed, "many", F.col("family")) * (c.children[1] - c.children[0]))).cast("int")
+    open_ = families.select("family", low.alias("low"), high.alias("high"), want.alias("want")).filter("low <= high and want > 0")
+    open_ = scratch.save(open_.select("family", "low", "high", F.explode(F.sequence(F.lit(1), "want")).alias("k")))
     young = people.select(F.col("handle").alias("child"), "birth_year")
-    met = range_join(families, young, "birth_year", low, high, 16).filter("child != coalesce(father, '') and child != coalesce(mother, '')")
-    order = [roll(c.seed, "child", F.col("family"), F.col("child")), F.col("family")]
-    met = met.withColumn("_r", F.row_number().over(Window.partitionBy("child").orderBy(*order))).filter("_r = 1")
-    met = met.withColumn("_k", F.row_number().over(Window.partitionBy("family").orderBy(roll(c.seed, "order", F.col("child")), F.col("child"))))
-    want = c.children[0] + F.floor(roll(c.seed, "many", F.col("family")) * (c.children[1] - c.children[0]))
-    return met.filter(F.col("_k") <= want).select("family", "child")
+    made = scratch.save(people.sparkSession.createDataFrame([], "family string, k int, child string"))
+    lots, turn = max(1, c.persons // 50_000), 0
+    while True:
+        lot = lambda *key: F.pmod(F.xxhash64(F.lit(c.seed + turn), *key), F.lit(lots))  # noqa: E731, B023
+        place = lambda df, *key: df.withColumn("_place", F.row_number().over(Window.partitionBy("birth_year", "_lot").orderBy(roll(c.seed, f"child{turn}", *map(F.col, key)), *key)))  # noqa: E731, B023
+        left = open_.join(made.select("family", "k"), ["family", "k"], "left_anti").withColumn("birth_year", F.explode(F.sequence("low", "high")))
+        left = left.select("family", "k", "birth_year", lot("family", "k").alias("_lot"))
+        free = young.join(made.select("child"), "child", "left_anti").withColumn("_lot", lot("child"))
+        met = place(left, "family", "k").join(place(free, "child"), ["birth_year", "_lot", "_place"])
+        new = scratch.save(met.groupBy("family", "k").agg(F.min_by("child", F.struct(roll(c.seed, f"keep{turn}", F.col("child")), "child")).alias("child")))
+        if not new.isEmpty():
+            made = scratch.save(made.unionByName(new))
+        elif lots == 1:
+            return made.select("family", "child")
+        else:
+            lots = 1
+        turn += 1
 
 
 def generate(spark: SparkSession, c: Config, scratch: Scratch) -> dict[str, DataFrame]:
     """Tables persons, families, events, places, sources, citations, nodes and edges."""
     people = scratch.save(persons(spark, c))
-    two = scratch.save(couples(people, c, int(c.persons * c.family_ratio)))
-    alone = roll(c.seed, "one", F.col("father")) < c.one_parent
-    second = roll(c.seed, "which", F.col("father")) < 0.5
+    two = couples(people, c, int(c.persons * c.family_ratio + 0.5), scratch)
+    alone = roll(c.seed, "one", F.col("family")) < c.one_parent
+    second = roll(c.seed, "which", F.col("family")) < 0.5
     gone = lambda left, col: F.when(alone & left, None).otherwise(F.col(col)).alias(col)
-    fam = two.select(F.concat(F.lit("F"), F.col("father")).alias("family"), gone(second, "father"), gone(second, "father_year"), gone(~second, "mother"), gone(~second, "mother_year"))
+    fam = two.select("family", gone(second, "father"), gone(second, "father_year"), gone(~second, "mother"), gone(~second, "mother_year"))
     fam = scratch.save(fam)
-    kids = scratch.save(children(fam, people, c))
+    kids = scratch.save(children(fam, people, c, scratch))
     seen = people.filter("not no_events")
     born = seen.select(F.concat(F.lit("B"), F.col("handle")).alias("event"), F.col("handle").alias("owner"), F.lit("Birth").alias("event_type"), F.col("birth_year").alias("year"), "quality")
     died = seen.filter("death_year is not null").select(F.concat(F.lit("D"), F.col("handle")).alias("event"), F.col("handle").alias("owner"), F.lit("Death").alias("event_type"), F.col("death_year").alias("year"), "quality")
@@ -183,7 +237,8 @@ def generate(spark: SparkSession, c: Config, scratch: Scratch) -> dict[str, Data
     )
     node = lambda df, kind, col="handle": df.select(F.col(col).alias("handle"), F.lit(kind).alias("kind"))
     nodes = node(people, "Person").unionByName(node(fam, "Family", "family")).unionByName(node(event, "Event", "event")).unionByName(node(place, "Place")).unionByName(node(cite, "Citation")).unionByName(node(source, "Source"))
-    edges = scratch.save(edges.withColumn("edge_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("edge_type", "source", "target")).cast("long")) if c.persons <= 100_000 else edges.withColumn("edge_id", F.monotonically_increasing_id()))
+    edges, _ = numbered(edges, ["edge_type", "source", "target"], scratch, "edge_id")
+    edges = edges.withColumn("edge_id", F.col("edge_id") + 1)
     events = event.select(F.col("event").alias("handle"), "event_type", "owner", date_value(F.col("year"), quality=F.col("quality")).alias("date"))
     families = fam.join(kids.groupBy("family").agg(F.sort_array(F.collect_list("child")).alias("child_handles")), "family", "left").select(F.col("family").alias("handle"), F.col("father").alias("father_handle"), F.col("mother").alias("mother_handle"), F.coalesce("child_handles", F.array().cast("array<string>")).alias("child_handles"))
     return {"persons": people, "families": families, "events": events, "places": place, "citations": cite, "sources": source, "nodes": scratch.save(nodes), "edges": edges}
@@ -283,10 +338,10 @@ def pair_single_parents(g: dict[str, DataFrame], comp: DataFrame, top: str, scra
 SOFT = ("EventPlace", "PlacePlaceRef", "CitationSource", "SourceRepoRef", "PersonPersonRef")
 
 
-def disconnect(persons: DataFrame, edges: DataFrame, order: str = "handle", clusters: int = 2) -> DataFrame:
+def disconnect(persons: DataFrame, edges: DataFrame, scratch: Scratch, order: str = "handle", clusters: int = 2) -> DataFrame:
     """edges without the family ties of any family whose people are in several clusters;
     people are dealt round robin in order."""
-    part = persons.select("handle", F.pmod(F.row_number().over(Window.orderBy(order)) - 1, F.lit(clusters)).alias("cluster"))
+    part = numbered(persons.select("handle", *({order} - {"handle"})), [order], scratch)[0].select("handle", F.pmod("place", F.lit(clusters)).alias("cluster"))
     ties = ["FamilyFather", "FamilyMother", "FamilyChildRef", "PersonFamily", "PersonParentFamily"]
     of = members(edges).join(part, "handle").groupBy("family").agg(F.count_distinct("cluster").alias("n")).filter("n > 1").select("family")
     family = F.when(F.col("edge_type").startswith("Family"), F.col("source")).when(F.col("edge_type").isin(ties), F.col("target"))
@@ -315,40 +370,42 @@ def ref_chains(events: DataFrame, length: int = 5) -> tuple[DataFrame, DataFrame
     return link.select(name(F.col("k")).alias("handle"), at(CHAIN_KINDS).alias("kind")), link.select(at(CHAIN).alias("edge_type"), name(F.col("k") - 1).alias("source"), name(F.col("k")).alias("target"))
 
 
-def _first_share(rows: DataFrame, order: list[str], share: float) -> DataFrame:
-    """rows with ``_hit``: among the first ceil(share * n) in order. The rank is by a sorted
-    window of one partition; spoiling is for test graphs."""
-    n = F.count("*").over(Window.partitionBy())
-    return rows.withColumn("_hit", F.row_number().over(Window.orderBy(*order)) <= F.ceil(n * share))
-
-
-def orphan_refs(edges: DataFrame, share: float, soft: tuple[str, ...] = SOFT, order: tuple[str, ...] = ("edge_id",)) -> DataFrame:
+def orphan_refs(edges: DataFrame, share: float, scratch: Scratch, soft: tuple[str, ...] = SOFT, order: tuple[str, ...] = ("edge_id",)) -> DataFrame:
     """edges without the first share of soft ones, and without those equal to one dropped."""
     same = ["edge_type", "source", "target"]
-    drop = _first_share(edges.filter(F.col("edge_type").isin(list(soft))), list(order), share).filter("_hit").select(same).distinct()
+    drop = first_share(edges.filter(F.col("edge_type").isin(list(soft))), list(order), share, scratch).filter("_hit").select(same).distinct()
     return edges.join(drop, same, "left_anti").select(edges.columns)
 
 
-def swap_genders(persons: DataFrame, share: float, order: tuple[str, ...] = ("handle",)) -> DataFrame:
+def swap_genders(persons: DataFrame, share: float, scratch: Scratch, order: tuple[str, ...] = ("handle",)) -> DataFrame:
     """0 and 1 change places for the first share of people."""
     g = F.col("gender")
-    hit = _first_share(persons, list(order), share)
+    hit = first_share(persons, list(order), share, scratch)
     return hit.withColumn("gender", F.when(F.col("_hit") & (g == 0), 1).when(F.col("_hit") & (g == 1), 0).otherwise(g).cast("int")).drop("_hit")
 
 
-def spoil(g: dict[str, DataFrame], strategies: tuple[str, ...], share: float = 0.3) -> dict[str, DataFrame]:
-    """The strategies that act on a finished graph, in order; an unknown one changes nothing."""
+def spoil(g: dict[str, DataFrame], strategies: tuple[str, ...], scratch: Scratch, share: float = 0.3) -> dict[str, DataFrame]:
+    """The strategies that act on a finished graph, in order; an unknown one changes nothing,
+    and one that can't be applied leaves the graph as it was before it."""
     for s in strategies:
-        if s == "disconnected":
-            g = g | {"edges": disconnect(g["persons"], g["edges"])}
-        elif s == "deep-nesting":
-            nodes, edges = nest_places(g["places"])
-            g = g | {"nodes": g["nodes"].unionByName(nodes), "edges": g["edges"].unionByName(edges, allowMissingColumns=True)}
-        elif s == "max-ref-chains":
-            nodes, edges = ref_chains(g["events"])
-            g = g | {"nodes": g["nodes"].unionByName(nodes), "edges": g["edges"].unionByName(edges, allowMissingColumns=True)}
-        elif s == "orphaned-refs":
-            g = g | {"edges": orphan_refs(g["edges"], share, order=("edge_id", "edge_type", "source", "target"))}
-        elif s == "double-gender":
-            g = g | {"persons": swap_genders(g["persons"], share)}
+        try:
+            g = _spoiled(g, s, scratch, share)
+        except (AnalysisException, KeyError) as e:  # a table or column that it needs isn't there
+            warnings.warn(f"{s} left out: {e}", stacklevel=2)
+    return g
+
+
+def _spoiled(g: dict[str, DataFrame], s: str, scratch: Scratch, share: float) -> dict[str, DataFrame]:
+    if s == "disconnected":
+        g = g | {"edges": disconnect(g["persons"], g["edges"], scratch)}
+    elif s == "deep-nesting":
+        nodes, edges = nest_places(g["places"])
+        g = g | {"nodes": g["nodes"].unionByName(nodes), "edges": g["edges"].unionByName(edges, allowMissingColumns=True)}
+    elif s == "max-ref-chains":
+        nodes, edges = ref_chains(g["events"])
+        g = g | {"nodes": g["nodes"].unionByName(nodes), "edges": g["edges"].unionByName(edges, allowMissingColumns=True)}
+    elif s == "orphaned-refs":
+        g = g | {"edges": orphan_refs(g["edges"], share, scratch, order=("edge_id", "edge_type", "source", "target"))}
+    elif s == "double-gender":
+        g = g | {"persons": swap_genders(g["persons"], share, scratch)}
     return g

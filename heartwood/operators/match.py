@@ -80,7 +80,7 @@ def match(a: DataFrame, b: DataFrame) -> Match:
 def classify(pairs: DataFrame, a: DataFrame, b: DataFrame, fields: dict[str, str]) -> DataFrame:
     """Of one kind: pairs with their changes; Same without, Modified with any."""
     side = lambda t, s: t.select(F.col("handle").alias(f"handle_{s}"), F.struct("*").alias(s))
-    out = pairs.join(side(a, "a"), "handle_a").join(side(b, "b"), "handle_b").withColumn("field_changes", compare.compare_fields(fields))
+    out = pairs.join(side(a, "a"), "handle_a").join(side(b, "b"), "handle_b").withColumn("field_changes", compare.compare_fields(fields, kind=a.schema))
     kind = F.when(F.size("field_changes") == 0, "Same").otherwise("Modified")
     return out.select(kind.alias("classification"), "kind", "handle_a", "handle_b", "confidence", "field_changes")
 

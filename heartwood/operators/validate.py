@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.parsers import expat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The last one is known to ``blocking``; no check here makes it.
 ERRORS = ("DanglingReference", "MissingRequired", "CardinalityViolation", "PlausibilityWarning")
 _empty = lambda c: F.coalesce(c, F.lit("")) == ""
 
@@ -62,6 +67,36 @@ def unknown_values(rows: DataFrame, column: str, domain: list[str]) -> DataFrame
 
 
 def xml_structure(texts: DataFrame, text: str = "content") -> DataFrame:
-    """(path, has_database, has_header, expected_namespace) of raw files."""
-    c = F.col(text)
-    return texts.select("path", c.rlike(r"<database[\s>]").alias("has_database"), c.rlike(r"<header[\s/>]").alias("has_header"), c.contains("/1.7.2/").alias("expected_namespace"))
+    """(path, severity, message) of raw files: an error where a file isn't well-formed or has
+    no database element, a warning for a missing header or another namespace. After a
+    parse error the rest of the file isn't looked at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(p, *x) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in _structure(t or "")]
+            cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["path", "severity", "message"])
+
+    return texts.select("path", text).mapInArrow(run, "path string, severity string, message string")
+
+
+def _structure(text: str) -> list[tuple[str, str]]:
+    seen: set[str] = set()
+    found: list[tuple[str, str]] = []
+
+    def start(name: str, attributes: dict[str, str]) -> None:
+        seen.add(name)
+        if name == "database" and not attributes.get("xmlns", "").endswith("/1.7.2/"):
+            found.append(("warning", "<database> lacks the expected namespace"))
+
+    parser = expat.ParserCreate("UTF-8")
+    parser.StartElementHandler = start
+    try:
+        parser.Parse(text.encode(), True)
+    except expat.ExpatError as e:
+        found.append(("error", f"XML parse error: {e}"))
+    if "database" not in seen:
+        found.append(("error", "no <database> element"))
+    if "header" not in seen:
+        found.append(("warning", "no <header> element"))
+    return found

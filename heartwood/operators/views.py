@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import ENUMS, KINDS
+from ..scratch import Scratch
+from .rank import numbered
 from .validate import unknown_values
 
 
@@ -20,14 +22,10 @@ def in_rectangle(nodes: DataFrame, x0: float, y0: float, x1: float, y1: float) -
     return nodes.filter(inside).select("handle")
 
 
-def family_groups(components: DataFrame, generations: DataFrame) -> DataFrame:
-    """(handle, family_group, size, span): groups numbered from 0 by their smallest handle.
-
-    Only the groups, one row each, are ranked together.
-    """
+def family_groups(components: DataFrame, generations: DataFrame, scratch: Scratch) -> DataFrame:
+    """(handle, family_group, size, span): groups numbered from 0 by their smallest handle."""
     g = components.join(generations, "handle").groupBy("component").agg(F.count("*").alias("size"), (F.max("generation") + 1).cast("long").alias("span"))
-    numbered = g.withColumn("family_group", F.dense_rank().over(Window.orderBy("component")).cast("long") - 1)
-    return components.join(numbered, "component").select("handle", "family_group", "size", "span")
+    return components.join(numbered(g, ["component"], scratch, "family_group")[0], "component").select("handle", "family_group", "size", "span")
 
 
 def payload_errors(nodes: DataFrame, links: DataFrame) -> DataFrame:

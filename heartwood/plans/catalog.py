@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..operators import cascade, compare, generate, graph, impute, integrate, kinship, match, stats, validate
+from ..operators.rank import numbered
 from ..scratch import Scratch
 from .tables import DEPTH, FOREST, GRAPH, REACH, _key, edges, forest, kin, nodes, parents, table
 
@@ -101,7 +102,7 @@ def generation_table(spark: SparkSession, d: str) -> DataFrame:
 def components(spark: SparkSession, d: str) -> DataFrame:
     comp = _groups(spark, d)[2]
     # Dense ids: the roots alone are ranked, one row a component.
-    ids = comp.select("component").distinct().withColumn("group_id", F.dense_rank().over(Window.orderBy("component")).cast("long") - 1)
+    ids, _ = numbered(comp.select("component").distinct(), ["component"], Scratch(spark, "ranks"), "group_id")
     return comp.join(ids, "component").select("handle", "component", "group_id")
 
 
@@ -539,20 +540,20 @@ def adversarial_disconnect(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     people = c.select(_key("C", "c_custkey").alias("handle"), "c_custkey")
     e = c.select(F.lit("FamilyFather").alias("edge_type"), F.concat(F.lit("F"), F.col("c_nationkey").cast("string"), F.lit("-"), (F.col("c_custkey") % 50).cast("string")).alias("source"), _key("C", "c_custkey").alias("target"))
-    return generate.disconnect(people, e, order="c_custkey")
+    return generate.disconnect(people, e, Scratch(spark, "ranks"), order="c_custkey")
 
 
 @query(f"""WITH {GRAPH}, s AS (SELECT *, row_number() OVER (ORDER BY edge_type, source, target) AS r, count(*) OVER () AS n FROM edges WHERE edge_type IN ('CitationSource', 'SourceRepoRef'))
     SELECT edge_type, source, target FROM s WHERE r > ceil(n * 0.25)""")
 def adversarial_orphan_refs(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d).filter(F.col("edge_type").isin("CitationSource", "SourceRepoRef"))
-    return generate.orphan_refs(e, 0.25, order=("edge_type", "source", "target"))
+    return generate.orphan_refs(e, 0.25, Scratch(spark, "ranks"), order=("edge_type", "source", "target"))
 
 
 @query(f"WITH {_PEOPLE} SELECT handle, (CASE WHEN r <= ceil(n * 0.3) AND k % 3 < 2 THEN 1 - k % 3 ELSE k % 3 END)::INT AS gender FROM p")
 def adversarial_swap(spark: SparkSession, d: str) -> DataFrame:
     people = table(spark, d, "customer").select(_key("C", "c_custkey").alias("handle"), "c_custkey", (F.col("c_custkey") % 3).cast("int").alias("gender"))
-    return generate.swap_genders(people, 0.3, order=("c_custkey",)).select("handle", "gender")
+    return generate.swap_genders(people, 0.3, Scratch(spark, "ranks"), order=("c_custkey",)).select("handle", "gender")
 
 
 # --------------------------------------------------------- without SQL: checked in tests
@@ -566,17 +567,108 @@ def generate_graph(spark: SparkSession, d: str) -> DataFrame:
     return generate.densify(g, scratch)["nodes"].groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query()
+def _typed(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Typed tables of all ten kinds, with references between them, from the driver's."""
+    t = lambda n: table(spark, d, n)
+    text = lambda c: F.col(c).cast("string")
+    none = lambda kind: F.lit(None).cast(kind)
+    key = lambda prefix, c: [_key(prefix, c).alias("handle"), F.concat(F.lit("id-"), text(c)).alias("public_id")]
+    refs = lambda prefix, c, meta, value: F.array(F.struct(_key(prefix, c).alias("ref"), F.lit(value).alias(meta)))
+    attributes, addresses, urls = "array<struct<type:string,value:string>>", "array<struct<street:string,locality:string,city:string,county:string,state:string,country:string,postal:string,phone:string>>", "array<struct<path:string,desc:string,type:string>>"
+    lists = {"note_list": None, "tag_list": None, "citation_list": None, "media_list": None}
+    listed = lambda **own: [F.coalesce(own.get(c, none("array<string>")), F.array().cast("array<string>")).alias(c) for c in lists]
+    attrs = none(attributes).alias("attribute_list")
+    c, s, p, n, r = t("customer"), t("supplier"), t("part"), t("nation"), t("region")
+    tag = F.array(_key("T", "n_regionkey"))
+    return {
+        "Person": c.select(*key("C", "c_custkey"), (F.col("c_custkey") % 2).cast("int").alias("gender"), F.lit("Birth").alias("name_type"), F.col("c_name").alias("given_name"), F.col("c_mktsegment").alias("surname"), none("string").alias("suffix"), none("string").alias("title"), none("array<struct<surname:string,prefix:string,primary:boolean,origintype:string>>").alias("surname_list"), none("array<struct<first_name:string,surname:string,suffix:string,title:string,type:string,surname_list:array<struct<surname:string,prefix:string,primary:boolean,origintype:string>>>>").alias("alternate_names"), (1900 + F.col("c_custkey") % 83).cast("string").alias("birth_date"), none("string").alias("death_date"), refs("E", "c_custkey", "role", "Primary").alias("event_ref_list"), none("array<struct<ref:string,relation:string>>").alias("person_ref_list"), attrs, none(addresses).alias("address_list"), none(urls).alias("url_list"), none("array<struct<type:string,status:string,temple:string>>").alias("lds_ord_list"), *listed(note_list=F.array(_key("N", "c_nationkey")))),
+        "Family": s.select(*key("F", "s_suppkey"), _key("C", "s_suppkey").alias("father_handle"), none("string").alias("mother_handle"), refs("C", "s_nationkey", "relation", "Adopted").alias("child_ref_list"), none("array<struct<ref:string,role:string>>").alias("event_ref_list"), attrs, *listed()),
+        "Event": c.select(*key("E", "c_custkey"), F.lit("Birth").alias("event_type"), dates.date_value((1900 + F.col("c_custkey") % 83).cast("int"), quality=F.lit("Estimated")).alias("date"), _key("P", "c_custkey").alias("place_handle"), F.concat(F.lit("<"), F.col("c_name"), F.lit("> & \"more\"")).alias("description"), attrs, *listed()),
+        "Place": p.select(*key("P", "p_partkey"), F.col("p_name").alias("city"), *(none("string").alias(f) for f in ("street", "county", "state", "country", "title")), none("array<string>").alias("alt_names"), F.col("p_brand").alias("code"), *(none("string").alias(f) for f in ("lat", "long")), none("array<struct<ref:string>>").alias("place_ref_list"), attrs, *listed(media_list=F.array(_key("M", "p_size")))),
+        "Source": s.select(*key("S", "s_suppkey"), F.col("s_name").alias("title"), *(none("string").alias(f) for f in ("author", "pubinfo", "abbrev")), F.array(F.struct(_key("R", "s_nationkey").alias("ref"), F.lit("7").alias("call_number"), F.lit("Book").alias("media_type"))).alias("reporef_list"), attrs, *listed()),
+        "Citation": p.select(*key("K", "p_partkey"), _key("S", "p_size").alias("source_handle"), F.col("p_type").alias("page"), F.lit(2).alias("confidence"), *listed()),
+        "Repository": n.select(*key("R", "n_nationkey"), F.col("n_name").alias("name"), F.lit("Archive").alias("type"), none(addresses).alias("address_list"), none(urls).alias("url_list"), *listed(tag_list=tag)),
+        "Media": p.select(F.col("p_size")).distinct().select(*key("M", "p_size"), F.concat(text("p_size"), F.lit(".png")).alias("path"), F.lit("image/png").alias("mime_type"), none("string").alias("desc"), none("string").alias("checksum"), attrs, *listed()),
+        "Note": n.select(*key("N", "n_nationkey"), F.col("n_name").alias("text"), F.lit(0).alias("format"), F.lit("Research").alias("type"), *listed(tag_list=tag)),
+        "Tag": r.select(*key("T", "r_regionkey"), F.col("r_name").alias("name"), F.lit("#ff0000").alias("color"), F.col("r_regionkey").cast("int").alias("priority"), *listed()),
+    }
+
+
+@query("""
+    SELECT 'Person' AS kind, 'C' || c_custkey AS handle, 'id-' || c_custkey AS public_id, c_name || '|' || c_mktsegment || '|' || (c_custkey % 2) || '|' || (1900 + c_custkey % 83) AS label, 'PersonEventRef:E' || c_custkey || ':Primary PersonNote:N' || c_nationkey AS refs FROM customer
+    UNION ALL SELECT 'Family', 'F' || s_suppkey, 'id-' || s_suppkey, '', 'FamilyChildRef:C' || s_nationkey || ':Adopted FamilyFather:C' || s_suppkey FROM supplier
+    UNION ALL SELECT 'Event', 'E' || c_custkey, 'id-' || c_custkey, 'Birth|' || (1900 + c_custkey % 83) || '|Estimated|<' || c_name || '> & "more"', 'EventPlace:P' || c_custkey FROM customer
+    UNION ALL SELECT 'Place', 'P' || p_partkey, 'id-' || p_partkey, p_name || '|' || p_brand, 'PlaceMediaRef:M' || p_size FROM part
+    UNION ALL SELECT 'Source', 'S' || s_suppkey, 'id-' || s_suppkey, s_name, 'SourceRepoRef:R' || s_nationkey || ':7:Book' FROM supplier
+    UNION ALL SELECT 'Citation', 'K' || p_partkey, 'id-' || p_partkey, p_type || '|2', 'CitationSource:S' || p_size FROM part
+    UNION ALL SELECT 'Repository', 'R' || n_nationkey, 'id-' || n_nationkey, n_name || '|Archive', 'RepositoryTag:T' || n_regionkey FROM nation
+    UNION ALL SELECT 'Media', 'M' || p_size, 'id-' || p_size, p_size || '.png|image/png', '' FROM (SELECT DISTINCT p_size FROM part)
+    UNION ALL SELECT 'Note', 'N' || n_nationkey, 'id-' || n_nationkey, n_name || '|0|Research', 'NoteTag:T' || n_regionkey FROM nation
+    UNION ALL SELECT 'Tag', 'T' || r_regionkey, 'id-' || r_regionkey, r_name || '|#ff0000|' || r_regionkey, '' FROM region""")
 def xml_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers as sources written to XML and read again."""
+    """Nodes of all ten kinds and their references, written to XML and read again."""
     from ..sources import xml
 
-    scratch = Scratch(spark, "xml")
-    empty = lambda kind: F.array().cast(kind)
-    tags = table(spark, d, "supplier").select(
-        _key("S", "s_suppkey").alias("handle"), F.col("s_name").alias("public_id"), F.col("s_name").alias("name"), F.lit("#ff0000").alias("color"), F.col("s_nationkey").alias("priority"),
-        *(empty("array<string>").alias(c) for c in ("note_list", "tag_list", "citation_list", "media_list")),
-    )
-    path = f"{scratch.top}/file"
-    xml.write({"Tag": tags}, path, "urn:example:graph/1.7.2/", "5.2", "2024-01-01", files=1)
-    return xml.tables(spark, path)["Tag"].select("handle", "public_id", "name", "color", "priority")
+    path = f"{Scratch(spark, 'xml').top}/file"
+    xml.write(_typed(spark, d), path, "urn:example:graph/1.7.2/", "5.2", "2024-01-01")
+    t = xml.tables(spark, path)
+    label = {
+        "Person": ["given_name", "surname", "gender", "birth_date"], "Family": [], "Event": ["event_type", "date.year", "date.quality", "description"], "Place": ["city", "code"], "Source": ["title"], "Citation": ["page", "confidence"],
+        "Repository": ["name", "type"], "Media": ["path", "mime_type"], "Note": ["text", "format", "type"], "Tag": ["name", "color", "priority"],
+    }
+    nodes = None
+    for kind, rows in t.items():
+        part = rows.select(F.lit(kind).alias("kind"), "handle", "public_id", F.concat_ws("|", F.lit(None).cast("string"), *(F.col(c).cast("string") for c in label[kind])).alias("label"))
+        nodes = part if nodes is None else nodes.unionByName(part)
+    ref = xml.edges_of(t).select(F.col("source").alias("handle"), F.concat_ws(":", "edge_type", "target", "role", "relation", "call_number", "media_type").alias("ref"))
+    refs = ref.groupBy("handle").agg(F.array_join(F.sort_array(F.collect_list("ref")), " ").alias("refs"))
+    return nodes.join(refs, "handle", "left").select("kind", "handle", "public_id", "label", F.coalesce("refs", F.lit("")).alias("refs"))
+
+
+#: Customers with orders, and media, notes and tags of both, of each other and of tags.
+_NOTED = """
+    nodes AS (
+        SELECT 'C' || c_custkey AS handle, 'Person' AS kind FROM customer UNION ALL SELECT 'O' || o_orderkey, 'Family' FROM orders UNION ALL SELECT 'E' || o_orderkey, 'Event' FROM orders
+        UNION ALL SELECT DISTINCT 'M' || (c_custkey // 2), 'Media' FROM customer UNION ALL SELECT 'N' || o_orderkey, 'Note' FROM orders UNION ALL SELECT DISTINCT 'T' || (c_custkey // 4), 'Tag' FROM customer
+    ),
+    edges AS (
+        SELECT 'FamilyFather' AS edge_type, 'O' || o_orderkey AS source, 'C' || o_custkey AS target FROM orders UNION ALL SELECT 'FamilyEventRef', 'O' || o_orderkey, 'E' || o_orderkey FROM orders
+        UNION ALL SELECT 'PersonMediaRef', 'C' || c_custkey, 'M' || (c_custkey // 2) FROM customer UNION ALL SELECT 'FamilyMediaRef', 'O' || o_orderkey, 'M' || (o_custkey // 2) FROM orders WHERE o_orderkey % 5 = 0
+        UNION ALL SELECT 'EventNote', 'E' || o_orderkey, 'N' || o_orderkey FROM orders UNION ALL SELECT 'PersonNote', 'C' || o_custkey, 'N' || o_orderkey FROM orders WHERE o_orderkey % 3 = 0
+        UNION ALL SELECT 'PersonTag', 'C' || c_custkey, 'T' || (c_custkey // 4) FROM customer UNION ALL SELECT 'NoteTag', 'N' || o_orderkey, 'T' || (o_custkey // 4) FROM orders WHERE o_orderkey % 7 = 0
+    )"""
+
+
+def _noted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    text = lambda prefix, expr: F.concat(F.lit(prefix), F.expr(expr).cast("string"))
+    node = lambda df, kind, h: df.select(h.alias("handle"), F.lit(kind).alias("kind"))
+    edge = lambda df, kind, a, b: df.select(F.lit(kind).alias("edge_type"), a.alias("source"), b.alias("target"))
+    who, fam, event, note = text("C", "c_custkey"), text("O", "o_orderkey"), text("E", "o_orderkey"), text("N", "o_orderkey")
+    nodes = node(c, "Person", who).unionByName(node(o, "Family", fam)).unionByName(node(o, "Event", event)).unionByName(node(c, "Media", text("M", "c_custkey div 2")).distinct()).unionByName(node(o, "Note", note)).unionByName(node(c, "Tag", text("T", "c_custkey div 4")).distinct())
+    father = text("C", "o_custkey")
+    parts = [
+        edge(o, "FamilyFather", fam, father), edge(o, "FamilyEventRef", fam, event), edge(c, "PersonMediaRef", who, text("M", "c_custkey div 2")), edge(o.filter("o_orderkey % 5 = 0"), "FamilyMediaRef", fam, text("M", "o_custkey div 2")),
+        edge(o, "EventNote", event, note), edge(o.filter("o_orderkey % 3 = 0"), "PersonNote", father, note), edge(c, "PersonTag", who, text("T", "c_custkey div 4")), edge(o.filter("o_orderkey % 7 = 0"), "NoteTag", note, text("T", "o_custkey div 4")),
+    ]
+    edges = parts[0]
+    for x in parts[1:]:
+        edges = edges.unionByName(x)
+    return nodes, edges
+
+
+@query(f"""WITH {_NOTED},
+    p AS (SELECT handle FROM nodes WHERE kind = 'Person' AND substr(handle, 2)::BIGINT % 8 < 5),
+    o AS (SELECT source AS handle FROM edges WHERE edge_type = 'FamilyFather' GROUP BY source HAVING bool_and(target IN (SELECT handle FROM p))),
+    e AS (SELECT target AS handle FROM edges WHERE edge_type = 'FamilyEventRef' GROUP BY target HAVING bool_and(source IN (SELECT handle FROM o))),
+    m AS (SELECT target AS handle FROM edges WHERE edge_type IN ('PersonMediaRef', 'FamilyMediaRef') GROUP BY target HAVING bool_and(source IN (SELECT handle FROM p UNION ALL SELECT handle FROM o))),
+    n AS (SELECT target AS handle FROM edges WHERE edge_type IN ('EventNote', 'PersonNote') GROUP BY target HAVING bool_and(source IN (SELECT handle FROM p UNION ALL SELECT handle FROM e))),
+    t AS (SELECT target AS handle FROM edges WHERE edge_type IN ('PersonTag', 'NoteTag') GROUP BY target HAVING bool_and(source IN (SELECT handle FROM p UNION ALL SELECT handle FROM n)))
+    SELECT 'Person' AS kind, handle FROM p UNION ALL SELECT 'Family', handle FROM o UNION ALL SELECT 'Event', handle FROM e UNION ALL SELECT 'Media', handle FROM m UNION ALL SELECT 'Note', handle FROM n UNION ALL SELECT 'Tag', handle FROM t""")
+def cascade_notes(spark: SparkSession, d: str) -> DataFrame:
+    """What goes with five of eight customers where media, notes and tags hang on people,
+    families, events and notes. Each kind is kept by kinds before it, so SQL goes kind by kind."""
+    scratch = Scratch(spark, "cascade")
+    nodes, edges = _noted(spark, d)
+    seeds = nodes.filter("kind = 'Person' and cast(substr(handle, 2) as bigint) % 8 < 5")
+    return cascade.cascade(scratch.save(nodes), scratch.save(edges), seeds, scratch).select("kind", "handle")

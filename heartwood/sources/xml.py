@@ -8,6 +8,7 @@ elements parsed with ``from_xml``.
 from __future__ import annotations
 
 import gzip
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,8 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, decode
-from ..functions.text import NAMESPACE, escape_xml, version_of_namespace
+from ..functions.text import NAMESPACE, escape_xml, normalize_handle, version_of_namespace
 from ..model import EDGES, SECTIONS, Graph
+from ..scratch import Scratch
 
 _REF = "array<struct<_hlink:string>>"
 _NOTED = f"noteref {_REF}, tagref {_REF}, mediaref {_REF}, objref {_REF}, citationref {_REF}"
@@ -28,7 +30,7 @@ _ADDRESS = f"address array<struct<location:{_PLACE},street:string,locality:strin
 _URL = "url array<struct<_href:string,_type:string,_description:string,desc:string,type:string>>"
 #: Row tag(s) and schema of each kind.
 SCHEMA: dict[str, tuple[list[str], str]] = {
-    "Person": (["person"], f"_handle string, _id string, gender string, name array<struct<_type:string,first:string,surname:array<struct<_VALUE:string,_prefix:string,_prim:string,_origintype:string>>>>, {_EVENTREF}, personref array<struct<_hlink:string,_relation:string,_rel:string>>, lds_ord array<struct<_type:string,_status:string,_temple:string>>, birth struct<{_DATE.replace(' ', ':', 1)}>, death struct<{_DATE.replace(' ', ':', 1)}>, {_ATTRIBUTE}, {_ADDRESS}, {_URL}, {_NOTED}"),
+    "Person": (["person"], f"_handle string, _id string, gender string, name array<struct<_type:string,first:string,suffix:string,title:string,surname:array<struct<_VALUE:string,_prefix:string,_prim:string,_origintype:string>>>>, {_EVENTREF}, personref array<struct<_hlink:string,_relation:string,_rel:string>>, lds_ord array<struct<_type:string,_status:string,_temple:string>>, birth struct<{_DATE.replace(' ', ':', 1)}>, death struct<{_DATE.replace(' ', ':', 1)}>, {_ATTRIBUTE}, {_ADDRESS}, {_URL}, {_NOTED}"),
     "Family": (["family"], f"_handle string, _id string, father struct<_hlink:string>, mother struct<_hlink:string>, childref array<struct<_hlink:string,_relation:string,_rel:string>>, {_EVENTREF}, {_ATTRIBUTE}, {_NOTED}"),
     "Event": (["event"], f"_handle string, _id string, type string, eventtype struct<type:string>, {_DATE}, place struct<_hlink:string>, description string, {_ATTRIBUTE}, {_NOTED}"),
     "Place": (["place", "placeobj"], f"_handle string, _id string, name struct<_value:string>, pname array<struct<_value:string>>, ptitle string, code string, lat string, long string, street string, locality string, city string, county string, state string, country string, postal string, phone string, placeref {_REF}, {_ATTRIBUTE}, {_NOTED}"),
@@ -105,9 +107,10 @@ def tables(spark: SparkSession, path: str | None = None, texts: DataFrame | None
     address = F.transform("address", lambda a: F.struct(*(F.coalesce(a[f], a["location"][f]).alias(f) for f in spot))).alias("address_list")
     key = [F.col("_handle").alias("handle"), F.col("_id").alias("public_id")]
     name = F.get("name", F.lit(0))
+    surnames = lambda n: F.transform(n["surname"], lambda s: F.struct(s["_VALUE"].alias("surname"), s["_prefix"].alias("prefix"), (s["_prim"] == "1").alias("primary"), decode.decode(s["_origintype"], "NameOriginType").alias("origintype")))
     surname = lambda n: F.coalesce(F.get(F.filter(n["surname"], lambda s: s["_prim"] == "1"), F.lit(0))["_VALUE"], F.get(n["surname"], F.lit(0))["_VALUE"])
     return {
-        "Person": raw["Person"].select(*key, decode.gender(F.col("gender")).alias("gender"), name["first"].alias("given_name"), surname(name).alias("surname"), decode.decode(name["_type"], "NameType").alias("name_type"), F.transform(F.slice("name", 2, 1000), lambda n: F.struct(n["first"].alias("first_name"), n["surname"][0]["_VALUE"].alias("surname"))).alias("alternate_names"), F.col("birth.dateval._val").alias("birth_date"), F.col("death.dateval._val").alias("death_date"), refs, rel("personref").alias("person_ref_list"), attrs, address, urls, F.transform("lds_ord", lambda o: F.struct(decode.decode(o["_type"], "LdsOrdType").alias("type"), o["_status"].alias("status"), o["_temple"].alias("temple"))).alias("lds_ord_list"), *lists),
+        "Person": raw["Person"].select(*key, decode.gender(F.col("gender")).alias("gender"), name["first"].alias("given_name"), surname(name).alias("surname"), decode.decode(name["_type"], "NameType").alias("name_type"), name["suffix"].alias("suffix"), name["title"].alias("title"), surnames(name).alias("surname_list"), F.transform(F.slice("name", F.lit(2), F.greatest(F.size("name"), F.lit(0))), lambda n: F.struct(n["first"].alias("first_name"), F.get(n["surname"], F.lit(0))["_VALUE"].alias("surname"), n["suffix"].alias("suffix"), n["title"].alias("title"), decode.decode(n["_type"], "NameType").alias("type"), surnames(n).alias("surname_list"))).alias("alternate_names"), F.col("birth.dateval._val").alias("birth_date"), F.col("death.dateval._val").alias("death_date"), refs, rel("personref").alias("person_ref_list"), attrs, address, urls, F.transform("lds_ord", lambda o: F.struct(decode.decode(o["_type"], "LdsOrdType").alias("type"), o["_status"].alias("status"), o["_temple"].alias("temple"))).alias("lds_ord_list"), *lists),
         "Family": raw["Family"].select(*key, F.col("father._hlink").alias("father_handle"), F.col("mother._hlink").alias("mother_handle"), rel("childref").alias("child_ref_list"), _hlinks("childref").alias("child_handles"), refs, attrs, *lists),
         "Event": raw["Event"].select(*key, decode.event_type(_first("eventtype.type", "type")).alias("event_type"), date("dateval").alias("date"), F.col("place._hlink").alias("place_handle"), "description", attrs, *lists),
         "Place": raw["Place"].select(*key, _first("city", "name._value", F.get("pname", F.lit(0))["_value"]).alias("city"), "street", "county", "state", "country", F.col("ptitle").alias("title"), F.transform("pname", lambda p: p["_value"]).alias("alt_names"), "code", "lat", "long", F.transform("placeref", lambda r: F.struct(r["_hlink"].alias("ref"))).alias("place_ref_list"), attrs, *lists),
@@ -120,6 +123,14 @@ def tables(spark: SparkSession, path: str | None = None, texts: DataFrame | None
     }
 
 
+def viewer_names(spark: SparkSession, path: str | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """(handle, given_name, surname) as a viewer shows people: of several names the last one
+    counts, and of its surnames the first."""
+    last = F.element_at("name", -1)
+    rows = _rows(spark, path, texts, "Person").filter(F.size("name") > 0)
+    return rows.select(F.col("_handle").alias("handle"), last["first"].alias("given_name"), F.get(last["surname"], F.lit(0))["_VALUE"].alias("surname"))
+
+
 def edges_of(t: dict[str, DataFrame]) -> DataFrame:
     """The references of typed tables as edges, with their metadata."""
     none = F.lit(None).cast("string")
@@ -199,11 +210,13 @@ def element(kind: str) -> Column:
     attrs = lambda: _each("attribute_list", lambda a: F.concat(F.lit("<attribute"), _attr("type", a["type"]), _attr("value", a["value"]), F.lit("/>")))
     address = lambda: _each("address_list", lambda a: F.concat(F.lit("<address>"), *(_element(f, a[f]) for f in ("street", "locality", "city", "county", "state", "country", "postal", "phone")), F.lit("</address>")))
     urls = lambda: _each("url_list", lambda u: F.concat(F.lit("<url"), _attr("href", u["path"]), _attr("type", u["type"]), _attr("description", u["desc"]), F.lit("/>")))
+    surnames = lambda v, only: F.when(F.size(v) > 0, F.array_join(F.transform(v, lambda s: F.concat(F.lit("<surname"), _attr("prefix", s["prefix"]), _attr("prim", F.when(s["primary"], "1")), _attr("origintype", s["origintype"]), F.lit(">"), escape_xml(F.coalesce(s["surname"], F.lit(""))), F.lit("</surname>"))), "")).otherwise(_element("surname", only))
+    day = lambda tag: F.when(c(f"{tag}_date").isNotNull(), F.concat(F.lit(f"<{tag}><dateval"), _attr("val", c(f"{tag}_date")), F.lit(f"/></{tag}>"))).otherwise("")
     body = {
-        "Person": lambda: [_element("gender", gender), F.lit("<name"), _attr("type", c("name_type")), F.lit(">"), _element("first", c("given_name")), _element("surname", c("surname")), F.lit("</name>"), _each("alternate_names", lambda n: F.concat(F.lit("<name>"), _element("first", n["first_name"]), _element("surname", n["surname"]), F.lit("</name>"))), refs(True), _each("person_ref_list", lambda r: F.concat(F.lit("<personref"), _attr("hlink", r["ref"]), _attr("rel", r["relation"]), F.lit("/>"))), attrs(), address(), urls()],
+        "Person": lambda: [_element("gender", gender), F.lit("<name"), _attr("type", c("name_type")), F.lit(">"), _element("first", c("given_name")), surnames(c("surname_list"), c("surname")), _element("suffix", c("suffix")), _element("title", c("title")), F.lit("</name>"), _each("alternate_names", lambda n: F.concat(F.lit("<name"), _attr("type", n["type"]), F.lit(">"), _element("first", n["first_name"]), surnames(n["surname_list"], n["surname"]), _element("suffix", n["suffix"]), _element("title", n["title"]), F.lit("</name>"))), day("birth"), day("death"), refs(True), _each("lds_ord_list", lambda o: F.concat(F.lit("<lds_ord"), _attr("type", o["type"]), _attr("status", o["status"]), _attr("temple", o["temple"]), F.lit("/>"))), _each("person_ref_list", lambda r: F.concat(F.lit("<personref"), _attr("hlink", r["ref"]), _attr("rel", r["relation"]), F.lit("/>"))), attrs(), address(), urls()],
         "Family": lambda: [*(F.when(c(f"{p}_handle").isNotNull(), F.concat(F.lit(f"<{p}"), _attr("hlink", c(f"{p}_handle")), F.lit("/>"))).otherwise("") for p in ("father", "mother")), _each("child_ref_list", lambda r: F.concat(F.lit("<childref"), _attr("hlink", r["ref"]), _attr("rel", r["relation"]), F.lit("/>"))), refs(True), attrs()],
         "Event": lambda: [F.when(c("event_type").isNotNull(), F.concat(F.lit("<eventtype>"), _element("type", c("event_type")), F.lit("</eventtype>"))).otherwise(""), _date(c("date")), F.when(c("place_handle").isNotNull(), F.concat(F.lit("<place"), _attr("hlink", c("place_handle")), F.lit("/>"))).otherwise(""), _element("description", c("description")), attrs()],
-        "Place": lambda: [*(_element(f, c(f)) for f in ("street", "city", "county", "state", "country")), _element("ptitle", c("title")), _each("alt_names", lambda n: F.concat(F.lit("<pname"), _attr("value", n), F.lit("/>"))), _each("place_ref_list", lambda r: F.concat(F.lit("<placeref"), _attr("hlink", r["ref"]), F.lit("/>"))), attrs()],
+        "Place": lambda: [*(_element(f, c(f)) for f in ("street", "city", "county", "state", "country")), _element("ptitle", c("title")), *(_element(f, c(f)) for f in ("code", "lat", "long")), _each("alt_names", lambda n: F.concat(F.lit("<pname"), _attr("value", n), F.lit("/>"))), _each("place_ref_list", lambda r: F.concat(F.lit("<placeref"), _attr("hlink", r["ref"]), F.lit("/>"))), attrs()],
         "Source": lambda: [*(_element(f, c(f)) for f in ("title", "author", "pubinfo", "abbrev")), _each("reporef_list", lambda r: F.concat(F.lit("<reporef"), _attr("hlink", r["ref"]), _attr("callnumber", r["call_number"]), _attr("mediatype", r["media_type"]), F.lit("/>"))), attrs()],
         "Citation": lambda: [_element("page", c("page")), _element("confidence", c("confidence")), F.when(c("source_handle").isNotNull(), F.concat(F.lit("<sourceref"), _attr("hlink", c("source_handle")), F.lit("/>"))).otherwise("")],
         "Repository": lambda: [_element("name", c("name")), _element("type", c("type")), address(), urls()],
@@ -236,3 +249,64 @@ def write(t: dict[str, DataFrame], path: str, namespace: str, version: str, crea
     """Part files whose names' order is the file's; ``files=1`` writes it in one."""
     out = lines(t, namespace, version, created).orderBy("section", "handle").select("line")
     (out if files is None else out.coalesce(files)).write.mode("overwrite").text(path)
+
+
+# -------------------------------------------------------------------------- cleaning
+
+
+_PART = r"<!--[\s\S]*?-->|<\?[\s\S]*?\?>|<!\[CDATA\[[\s\S]*?\]\]>|<![^>]*>|<(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>"
+_HANDLE = r"\shandle\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
+
+
+def clean(spark: SparkSession, path: str, out: str, tag: str, handles: DataFrame) -> tuple[int, int]:
+    """Writes the files at path without the elements ``tag`` whose handle is in
+    handles(handle), leading underscores aside; (elements removed, handles not found).
+
+    A file, gzip or plain, is one row, as any reader of one document must take it; files
+    are read side by side, and what they are searched for is joined to them, not sent to
+    the driver. A removed element goes with all that it holds; text outside stays as it is.
+    Files are written plain, one text a row; handles that no element has change nothing.
+    """
+    texts = read_texts(spark, path)
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The outermost elements: where they begin and end, and their handles."""
+        part, handle, name = re.compile(_PART), re.compile(_HANDLE), re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])")
+        for b in batches:
+            rows: list[tuple] = []
+            for p, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                depth, start, own = 0, 0, None
+                for m in part.finditer(text):
+                    x = m.group()
+                    if not (n := name.match(x)):
+                        continue
+                    if n.group(1):
+                        depth -= 1
+                    else:
+                        if not depth:
+                            h = handle.search(x)
+                            start, own = m.start(), h and (h.group(1) or h.group(2))
+                        depth += not x.endswith("/>")
+                    if not depth and own is not None:
+                        rows.append((p, start, m.end(), own))
+            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["path", "a", "e", "handle"])
+
+    want = handles.select(normalize_handle(F.col("handle")).alias("h")).distinct()
+    scratch = Scratch(spark, "clean")
+    found = scratch.save(texts.mapInArrow(spans, "path string, a long, e long, handle string").withColumn("h", normalize_handle(F.col("handle"))).join(want, "h", "left_semi"))
+    cut = found.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("a", "e"))).alias("cut"))  # at most a file's elements
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left = []
+            for text, gone in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at, keep = 0, []
+                for x in gone or []:
+                    keep.append(text[at : x["a"]])
+                    at = x["e"]
+                left.append("".join([*keep, text[at:]]))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string())], ["value"])
+
+    texts.join(cut, "path", "left").select("content", "cut").mapInArrow(without, "value string").write.mode("overwrite").text(out)
+    return found.count(), want.join(found.select("h"), "h", "left_anti").count()

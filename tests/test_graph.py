@@ -1,11 +1,12 @@
 """Graph operators on small graphs, and on random ones against plain versions."""
 
+import collections
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from heartwood.operators import cascade, generate, graph, impute, kinship, stats, validate
+from heartwood.operators import cascade, generate, graph, impute, kinship, rank, stats, validate
 from heartwood.scratch import Scratch
 
 
@@ -155,8 +156,10 @@ def test_validation(spark):
     assert result(validate.dangling_references(edges, handles(spark, ["a"])).select("missing")) == [("x",), ("y",)]
     warn = spark.createDataFrame([("PlausibilityWarning",), ("MissingRequired",)], "error_kind string")
     assert validate.blocking(warn, strict=False).count() == 1 and validate.blocking(warn, strict=True).count() == 2
-    raw = spark.createDataFrame([("f", '<database xmlns="urn:x/1.7.2/"><header/></database>'), ("g", "<x/>")], "path string, content string")
-    assert result(validate.xml_structure(raw)) == [("f", True, True, True), ("g", False, False, False)]
+    raw = spark.createDataFrame([("f", '<database xmlns="urn:x/1.7.2/"><header/></database>'), ("g", "<x/>"), ("h", "<database><header></database>"), ("i", None)], "path string, content string")
+    found = validate.xml_structure(raw)
+    assert result(found.groupBy("path", "severity").count()) == [("g", "error", 1), ("g", "warning", 1), ("h", "error", 1), ("h", "warning", 1), ("i", "error", 2), ("i", "warning", 1)]
+    assert found.filter("message like 'XML parse error%'").count() == 2
 
 
 def test_statistics(spark, scratch):
@@ -177,7 +180,9 @@ def test_generator(spark, scratch):
     g, again = (generate.generate(spark, c, scratch) for _ in range(2))
     for name in ("persons", "families", "events", "edges"):
         assert result(g[name].select(g[name].columns[0])) == result(again[name].select(g[name].columns[0]))
-    assert g["persons"].count() == 120 and g["families"].count() <= 60
+    assert g["persons"].count() == 120 and 45 <= g["families"].count() <= 60
+    e = [tuple(r) for r in g["edges"].select("edge_id", "edge_type", "source", "target").collect()]
+    assert sorted(e) == [(i + 1, *x[1:]) for i, x in enumerate(sorted(e, key=lambda x: x[1:]))]
     assert validate.duplicate_handles(g["nodes"]).count() == 0 and validate.dangling_references(g["edges"], g["nodes"]).count() == 0
     born = {r.handle: r.birth_year for r in g["persons"].collect()}
     for f in g["families"].collect():
@@ -186,6 +191,7 @@ def test_generator(spark, scratch):
             assert not f.mother_handle or born[k] < born[f.mother_handle] + 50
     kids = [k for f in g["families"].collect() for k in f.child_handles]
     assert kids and len(kids) == len(set(kids))
+    g = generate.generate(spark, generate.Config(persons=60, family_ratio=0.15, seed=3), scratch)  # far below the target
     comp = generate.person_components(g, scratch)
     before = generate.connectivity(comp)[1]
     dense = generate.densify(g, scratch)
@@ -193,9 +199,29 @@ def test_generator(spark, scratch):
     assert validate.dangling_references(dense["edges"], dense["nodes"]).count() == 0
 
 
+def test_pairing_reaches_its_target(spark, scratch):
+    """Of 40 people who all fit, with up to two roles each; couples are never repeated."""
+    people = spark.createDataFrame([(f"p{i:02}", i % 2, 1900 + i % 5, 0, i == 39) for i in range(40)], "handle string, gender int, birth_year int, layer int, solo boolean")
+    for roles, want in ((1, 19), (2, 30)):
+        got = generate.couples(people, generate.Config(persons=40, max_parent_roles=roles), 30, scratch).collect()
+        assert len(got) == len({(r.father, r.mother) for r in got}) == len({r.family for r in got}) == min(want, 20 * roles)
+        for who in ("father", "mother"):
+            assert max(collections.Counter(r[who] for r in got).values()) <= roles
+
+
+def test_places_in_order(spark, scratch):
+    rows = spark.range(0, 1000, 1, 7).selectExpr("(id * 7919) % 1000 as v", "id % 3 as w")
+    placed, n = rank.numbered(rows, ["v"], scratch)
+    assert n == 1000 and all(r.place == r.v for r in placed.collect())
+    assert rank.numbered(rows.filter("false"), ["v"], scratch)[1] == 0
+    assert sorted(r.v for r in rank.first_share(rows, ["v"], 0.0105, scratch).filter("_hit").collect()) == list(range(11))
+
+
 def test_spoiling(spark, scratch):
     g = generate.generate(spark, generate.Config(persons=60, places=True, seed=1), scratch)
-    bad = generate.spoil(g, ("disconnected", "deep-nesting", "max-ref-chains", "orphaned-refs", "double-gender", "unheard-of"))
+    bad = generate.spoil(g, ("disconnected", "deep-nesting", "max-ref-chains", "orphaned-refs", "double-gender", "unheard-of"), scratch)
+    with pytest.warns(UserWarning):
+        assert generate.spoil({"edges": g["edges"]}, ("deep-nesting",), scratch) == {"edges": g["edges"]}
     assert bad["nodes"].filter("kind = 'Place'").count() == 4 * g["places"].count()
     assert bad["edges"].filter("edge_type = 'PlacePlaceRef'").count() <= 3 * g["places"].count()
     part = {r.handle: i % 2 for i, r in enumerate(g["persons"].orderBy("handle").collect())}

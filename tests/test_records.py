@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +42,24 @@ def test_field_rules(spark):
     assert changes(spark, compare.compare_date("f", d("a"), d("b")), (1850, 1851), "a int, b int") == [("Date", "f", "1850", "1851", 0.75)]
 
 
+def test_nested_fields(spark):
+    """Names with surnames, addresses with a place of their own, references with a role."""
+    surname = "struct<surname:string,prefix:string,primary:boolean,origintype:string>"
+    name = f"struct<first_name:string,suffix:string,type:string,surname_list:array<{surname}>>"
+    address = "struct<date:struct<year:int,month:int,day:int,quality:string,modifier:string,text:string>,location:struct<street:string,city:string>,note_list:array<string>>"
+    schema = f"struct<alternate_names:array<{name}>,address_list:array<{address}>,event_ref_list:array<struct<ref:string,role:string>>,suffix:string>"
+    a = ([("Ada", "I", "Birth", [("Lace", None, True, "Given")]), ("B", None, None, [])], [(None, ("Elm", "Ford"), ["n"]), (None, None, [])], [("e", "Primary")], "x")
+    b = ([("Ada", "II", "Married", [("Lace", "von", False, "Given"), ("L", None, None, None)])], [(None, ("Oak", "Ford"), []), (None, ("Elm", None), [])], [("e", "Witness")], "x")
+    df = spark.createDataFrame([(a, b)], f"a {schema}, b {schema}")
+    got = df.select(compare.compare_fields(compare.FIELDS["Person"], kind=df.schema["a"].dataType).alias("c")).first().c
+    assert [(c.field_kind, c.field_name, c.old_value, c.new_value) for c in got] == [
+        ("Text", "alternate_names[0].suffix", "I", "II"), ("Enum", "alternate_names[0].type", "Birth", "Married"), ("Text", "alternate_names[0].surname_list[0].prefix", None, "von"),
+        ("Boolean", "alternate_names[0].surname_list[0].primary", "true", "false"), ("Text", "alternate_names[0].surname_list[1]", None, '{"surname":"L"}'),
+        ("Text", "alternate_names[1]", '{"first_name":"B","surname_list":[]}', None), ("Enum", "event_ref_list.role", "Primary", "Witness"),
+        ("Text", "address_list[0].location.street", "Elm", "Oak"), ("HandleRefList", "address_list[0].note_list", "[n]", "[]"), ("Text", "address_list[1].location", None, '{"street":"Elm"}'),
+    ]
+
+
 def rows(spark, data):
     return spark.createDataFrame(data, "kind string, handle string, strong_key string")
 
@@ -83,12 +102,37 @@ def test_integration(spark):
 
 
 def test_report_round_trip(spark, tmp_path):
-    odd = report(spark, [("Modified", 'h"1', "b,c")]).withColumn("old_value", F.lit('say "hi",\nthere')).withColumn("similarity", F.lit(0.25))
-    files.write_report(odd, str(tmp_path / "r"))
-    text = "\n".join([files.report_header(), *(r.value for r in spark.read.text(str(tmp_path / "r")).collect())])
-    (tmp_path / "r.csv").write_text(text)
-    got = {r.item_type: r for r in files.read_report(spark, str(tmp_path / "r.csv")).collect()}["Person"]
-    assert (got.classification, got.handle_a, got.handle_b, got.old_value, got.similarity) == ("MODIFIED", 'h"1', "b,c", 'say "hi", there', 0.25)
+    """Several files, odd cells, unaided; then columns in another order and one too few."""
+    odd = report(spark, [("Modified", 'h"1', "b,c")]).withColumn("old_value", F.lit(' say "hi",\nthere ')).withColumn("field_name", F.lit("name")).withColumn("similarity", F.lit(0.25))
+    many = odd.unionByName(report(spark, [("Added", None, f"h{i}") for i in range(40)]).filter("item_type = 'Person'")).repartition(4)
+    files.write_report(many, str(tmp_path / "r"))
+    assert len(list((tmp_path / "r").glob("*.csv"))) == 4
+    back = files.read_report(spark, str(tmp_path / "r"))
+    got = {r.handle_b: r for r in back.collect()}
+    assert back.columns == files.REPORT and len(got) == 42 and back.count() == 42
+    r = got["b,c"]
+    assert (r.classification, r.handle_a, r.old_value, r.similarity, r.confidence) == ("MODIFIED", 'h"1', ' say "hi", there ', 0.25, 1.0)
+    assert got["h7"].similarity == 0 and got["h7"].classification == "ADDED"
+    names = ["x" if c == "display_name_a" else c for c in reversed(files.REPORT)]
+    (tmp_path / "turned.csv").write_text(",".join(n.replace("id_a", "own_id_a") for n in names if n != "x") + ",display_name_a,more\n" + ",".join("0.5" if n in ("confidence", "similarity") else n for n in names if n != "x") + ',"two\nlines",z\n')
+    (r,) = files.read_report(spark, str(tmp_path / "turned.csv")).collect()
+    assert (r.handle_a, r.id_a, r.display_name_a, r.similarity) == ("handle_a", "id_a", "two\nlines", 0.5)
+    (tmp_path / "short.csv").write_text("classification,item_type\na,b\n")
+    with pytest.raises(ValueError):
+        files.read_report(spark, str(tmp_path / "short.csv"))
+
+
+def test_report_rows_and_json(spark, tmp_path):
+    one = ("Modified", "Person", "a", "b", 1.0, [("Text", "name", "x", None, 0.5), ("Enum", "sex", "1", "2", 0.0)])
+    data = [one, ("Same", "Event", "e", "e", 1.0, []), ("ExtrinsicOnly", "Event", "f", "f", 1.0, []), ("Added", "Event", None, "g", 1.0, None)]
+    items = spark.createDataFrame(data, f"classification string, kind string, handle_a string, handle_b string, confidence double, field_changes {compare.CHANGE}").repartition(3)
+    got = files.report_rows(items)
+    assert got.columns == files.REPORT and sorted((r.item_type, r.field_name, r.similarity) for r in got.collect()) == [("Event", "", 0.0), ("Event", "", 0.0), ("Person", "name", 0.5), ("Person", "sex", 0.0)]
+    assert files.report_rows(items, extrinsic=True).count() == 5
+    for rows in (items, items.filter("false")):
+        files.write_report_json(rows, str(tmp_path / "j"))
+        whole = json.loads("\n".join(p.read_text() for p in sorted((tmp_path / "j").glob("part-*"))))
+        assert [(x["kind"], x["handle_b"]) for x in whole["items"]] == ([("Event", "g"), ("Event", "e"), ("Event", "f"), ("Person", "b")] if rows is items else [])
 
 
 def test_selections_and_manifests(spark, tmp_path):
@@ -97,6 +141,12 @@ def test_selections_and_manifests(spark, tmp_path):
     assert sel.first().handle == "a"
     files.write_selections(sel, str(tmp_path / "out"), "now", "f")
     assert files.read_selections(spark, str(tmp_path / "out")).count() == 1
+    turned = spark.createDataFrame([(1, "a", "A", None, None, "male", 1), (0, "b", "B", None, None, "male", 1)], "pos int, handle string, name string, birth_date string, death_date string, gender string, family_group long")
+    files.write_selections(turned, str(tmp_path / "out"), "now", "f")
+    assert [r.handle for r in files.read_selections(spark, str(tmp_path / "out")).orderBy("pos").collect()] == ["b", "a"]
+    (tmp_path / "bad.json").write_text(json.dumps({"selections": [{"handle": "a", "name": "A", "gender": "male"}]}))
+    with pytest.raises(Exception, match="lacks a field"):
+        files.read_selections(spark, str(tmp_path / "bad.json")).count()
     (tmp_path / "m1.json").write_text(json.dumps({"version": 1, "plan": {"people": {"to_delete": ["a"], "kept": ["b"]}}}))
     head, entries = files.read_manifest(spark, str(tmp_path / "m1.json"))
     assert head["version"] == 3 and {(r.handle, r.status) for r in entries.collect()} == {("a", "pending"), ("b", "kept")}
@@ -118,12 +168,13 @@ DOCUMENT = """<?xml version="1.0" encoding="UTF-8"?>
     <event handle="_e1" id="E1"><eventtype><type>Birth</type></eventtype><dateval val="1850-07" quality="estimated" type="about"/><place hlink="_nowhere"/></event>
     <event handle="_e2"><type>military service</type></event>
   </events>
-  <people><person handle="_p1" id="I1"><gender>F</gender><name type="Birth"><first>Ada &amp; Bo</first><surname prefix="von">Lace</surname></name><name><first>A.</first><surname>L.</surname></name>
+  <people><person handle="_p1" id="I1"><gender>F</gender><name type="Birth"><first>Ada &amp; Bo</first><surname prefix="von">Lace</surname><surname prim="1" origintype="Taken">Brown</surname><suffix>Jr</suffix></name><name type="Married"><first>A.</first><surname>L.</surname></name>
+    <birth><dateval val="1850-07-01"/></birth><death><dateval val="1900"/></death><lds_ord type="Baptism" status="Done" temple="SLC"/>
     <eventref hlink="_e1" role="Primary"/><eventref hlink="_e2"><role>Witness</role></eventref><noteref hlink="_n1"/></person></people>
   <families><family handle="_f1"><father hlink="_p9"/><mother hlink="_p1"/><childref hlink="_p2" rel="Adopted"/></family></families>
   <citations><citation handle="_c1"><page>5</page><confidence>2</confidence><sourceref hlink="_s1"/></citation></citations>
   <sources><source handle="_s1"><stitle>Register</stitle><reporef hlink="_r1" callnumber="7" medium="Book"/></source></sources>
-  <places><placeobj handle="_l1"><ptitle>Town hall</ptitle><pname value="Hall"/></placeobj><place handle="_l2"><name value="Ford"/></place></places>
+  <places><placeobj handle="_l1"><ptitle>Town hall</ptitle><code>7</code><lat>1.5</lat><long>2.5</long><pname value="Hall"/></placeobj><place handle="_l2"><name value="Ford"/></place></places>
   <objects><object handle="_m1"><file src="a.png" mime="image/png"/></object></objects>
   <repositories><repository handle="_r1"><rname>Archive</rname><type>Court House</type></repository></repositories>
   <notes><note handle="_n1" type="Research"><text>hello</text></note></notes>
@@ -138,7 +189,7 @@ def test_xml(spark, tmp_path, packed):
     g = xml.load(spark, str(path), packed=packed)
     t = g.tables
     p = t["Person"].first()
-    assert (p.handle, p.gender, p.given_name, p.surname, [(r.ref, r.role) for r in p.event_ref_list]) == ("_p1", 1, "Ada & Bo", "Lace", [("_e1", "Primary"), ("_e2", "Witness")])
+    assert (p.handle, p.gender, p.given_name, p.surname, p.birth_date, [(r.ref, r.role) for r in p.event_ref_list]) == ("_p1", 1, "Ada & Bo", "Brown", "1850-07-01", [("_e1", "Primary"), ("_e2", "Witness")])
     e = {r.handle: r for r in t["Event"].collect()}
     assert e["_e1"].date.year == 1850 and e["_e1"].date.modifier == "About" and e["_e2"].event_type == "Military Service"
     assert t["Source"].first().title == "Register" and t["Repository"].first().name == "Archive" and t["Repository"].first().type == "Court House"
@@ -147,6 +198,7 @@ def test_xml(spark, tmp_path, packed):
     assert inferred == {("_nowhere", "Place"), ("_p9", "Person"), ("_p2", "Person")}
     assert xml.load(spark, str(path), packed=packed, dangling="drop").edges.count() == g.edges.count() - 3
     texts = xml.read_texts(spark, str(path))
+    assert [tuple(r) for r in (xml.viewer_names(spark, texts=texts) if packed else xml.viewer_names(spark, str(path))).collect()] == [("_p1", "A.", "L.")]
     assert xml.read_version(texts).first().version == "5.2" and xml.unsupported_versions(texts).count() == 0
 
 
@@ -161,6 +213,18 @@ def test_xml_round_trip(spark, tmp_path):
         assert same(t[kind]) == same(again[kind]), kind
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_cleaning_files(spark, tmp_path, packed):
+    (tmp_path / "in").mkdir()
+    raw = DOCUMENT.replace("<notes>", "<notes><!-- <event handle='_e1'/> --><note handle='n2' x='a>b'/>")
+    (tmp_path / "in" / "g").write_bytes(gzip.compress(raw.encode()) if packed else raw.encode())
+    gone = spark.createDataFrame([("e1",), ("__e2",), ("_none",)], "handle string")
+    assert xml.clean(spark, str(tmp_path / "in"), str(tmp_path / "out"), "event", gone) == (2, 1)
+    left = "\n".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert left.strip() == re.sub(r"(?s)<event handle=\"_e1\".*?</event>|<event handle=\"_e2\">.*?</event>", "", raw).strip()
+    assert xml.clean(spark, str(tmp_path / "in"), str(tmp_path / "out"), "note", spark.createDataFrame([("_n1",), ("n2",)], "handle string")) == (2, 0)
+
+
 def test_descriptions(spark):
     who = spark.createDataFrame([("a", "I1", "Ada", "Lace", "1850", None), ("b", None, None, None, "1", "2")], "handle string, public_id string, given_name string, surname string, birth_date string, death_date string")
     assert [r.description for r in describe.describe_persons(who).collect()] == ["Ada Lace (b. 1850)", "Unknown (1-2)"]

@@ -1,5 +1,6 @@
 """Filters, groups, payload checks and the printed statistics."""
 
+from heartwood.scratch import Scratch
 from heartwood.operators import stats, views
 
 
@@ -9,7 +10,7 @@ def test_filters_and_groups(spark):
     assert [r.handle for r in views.in_rectangle(n, 6, 3, 4, 0).collect()] == ["b"]
     comp = spark.createDataFrame([("a", "a"), ("b", "a"), ("z", "z")], "handle string, component string")
     gen = spark.createDataFrame([("a", 0), ("b", 1), ("z", 0)], "handle string, generation int")
-    assert sorted(map(tuple, views.family_groups(comp, gen).collect())) == [("a", 0, 2, 2), ("b", 0, 2, 2), ("z", 1, 1, 1)]
+    assert sorted(map(tuple, views.family_groups(comp, gen, Scratch(spark, "views")).collect())) == [("a", 0, 2, 2), ("b", 0, 2, 2), ("z", 1, 1, 1)]
 
 
 def test_checks(spark):
