@@ -506,11 +506,12 @@ def _aged(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH m AS (SELECT a.handle AS father, b.handle AS mother, row_number() OVER (PARTITION BY a.handle ORDER BY abs(a.y - b.y), b.handle) AS r, count(*) OVER (PARTITION BY a.handle) AS choices
-        FROM {_AGED} a JOIN {_AGED} b ON a.k % 4 = 0 AND b.k % 4 = 1 AND b.y BETWEEN a.y - 20 AND a.y + 20 AND a.y + 16 <= b.y + 50)
+        FROM {_AGED} a JOIN {_AGED} b ON a.k % 2 = 0 AND b.k % 2 = 1 AND b.y BETWEEN a.y - 20 AND a.y + 20 AND a.y + 16 <= b.y + 50)
     SELECT father, mother, choices FROM m WHERE r = 1""")
 def pair_theta_join(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer is a man or a woman, by the parity of the key."""
     p = _aged(spark, d)
-    men, women = p.filter("k % 4 = 0").select(F.col("handle").alias("father"), F.col("y").alias("fy")), p.filter("k % 4 = 1").select(F.col("handle").alias("mother"), F.col("y").alias("my"))
+    men, women = p.filter("k % 2 = 0").select(F.col("handle").alias("father"), F.col("y").alias("fy")), p.filter("k % 2 = 1").select(F.col("handle").alias("mother"), F.col("y").alias("my"))
     # Years meet, not people: of each year the first woman and the number of them.
     first = women.groupBy("my").agg(F.min("mother").alias("mother"), F.count("*").alias("n"))
     met = generate.range_join(men.select("fy").distinct(), first, "my", F.col("fy") - 20, F.col("fy") + 20, 40).filter("fy + 16 <= my + 50")
@@ -518,11 +519,12 @@ def pair_theta_join(spark: SparkSession, d: str) -> DataFrame:
     return men.join(best, "fy").select("father", "x.mother", "choices")
 
 
-@query(f"""WITH m AS (SELECT a.handle AS mother, b.handle AS child, row_number() OVER (PARTITION BY a.handle ORDER BY b.y, b.handle) AS r FROM {_AGED} a JOIN {_AGED} b ON a.k % 10 = 0 AND b.k % 3 = 1 AND b.y > a.y + 16 AND b.y < a.y + 50)
+@query(f"""WITH m AS (SELECT a.handle AS mother, b.handle AS child, row_number() OVER (PARTITION BY a.handle ORDER BY b.y, b.handle) AS r FROM {_AGED} a JOIN {_AGED} b ON a.k % 2 = 1 AND b.y > a.y + 16 AND b.y < a.y + 50)
     SELECT mother, child FROM m WHERE r <= 3""")
 def child_range_join(spark: SparkSession, d: str) -> DataFrame:
+    """The women's first three possible children among all customers."""
     p = _aged(spark, d)
-    mothers, young = p.filter("k % 10 = 0").select(F.col("handle").alias("mother"), F.col("y").alias("my")), p.filter("k % 3 = 1").select(F.col("handle").alias("child"), F.col("y").alias("cy"))
+    mothers, young = p.filter("k % 2 = 1").select(F.col("handle").alias("mother"), F.col("y").alias("my")), p.select(F.col("handle").alias("child"), F.col("y").alias("cy"))
     # Years meet, not people: of each year the first three children.
     few = young.withColumn("r", F.row_number().over(Window.partitionBy("cy").orderBy("child"))).filter("r <= 3").drop("r")
     met = generate.range_join(mothers.select("my").distinct(), few, "cy", F.col("my") + 17, F.col("my") + 49, 16)

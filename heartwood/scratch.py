@@ -6,6 +6,7 @@ and survives the loss of an executor.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,12 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a new one only where none is set."""
+    """The folder that spark.checkpoint.dir names. Where none is set, a new one if driver
+    and executors are one process, else an error: hosts don't share a local folder."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     now = spark.sparkContext._jsc.sc().getCheckpointDir()
     if now.isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="heartwood-"))
         now = spark.sparkContext._jsc.sc().getCheckpointDir()
     return now.get()

@@ -36,17 +36,28 @@ def test_query(spark, views, name):
     assert sorted(got.columns) == sorted(want.columns) and norm(got) == norm(want)
 
 
-def test_entry_works_without_the_optional_part(spark, monkeypatch):
-    import importlib.util
+@pytest.mark.parametrize("gone", [("heartwood.llm", "corpus_pipeline"), ("corpus_pipeline",), ("numpy",)])
+def test_entry_works_without_the_optional_part(spark, monkeypatch, gone):
+    """Its folders deleted, the pipeline alone, or a library that it needs."""
+    import builtins
     import sys
 
-    import __spark_entry__ as entry
+    lost = [m for m in sys.modules if m.startswith(("heartwood.llm", "corpus_pipeline")) or m == "__spark_entry__"]
+    for m in lost:
+        monkeypatch.delitem(sys.modules, m)
+    real = builtins.__import__
 
-    whole = set(entry.queries())
-    real = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n.startswith("heartwood.llm") or n == "corpus_pipeline" else real(n, *a))
-    monkeypatch.delitem(sys.modules, "__spark_entry__")
+    def refuse(name, *a, **k):
+        if name.split(".")[0] in gone and (a and (a[0] or {}).get("__name__", "").startswith("heartwood.llm")):
+            raise ImportError(name)
+        return real(name, *a, **k)
+
+    monkeypatch.setattr(builtins, "__import__", refuse)
+    for m in gone:
+        if m != "numpy":
+            monkeypatch.setitem(sys.modules, m, None)
     import __spark_entry__ as bare
 
-    assert set(bare.queries()) == set(catalog.QUERIES) < whole | {"-"} and set(bare.oracle_sql()) <= set(bare.queries())
+    assert set(catalog.QUERIES) <= set(bare.queries()) and "pipeline" not in bare.queries() and set(bare.oracle_sql()) <= set(bare.queries())
+    assert (set(bare.queries()) == set(catalog.QUERIES)) == (bare.llm is None) == ("heartwood.llm" in gone)
     assert bare.entry(spark).count() > 0
