@@ -112,4 +112,52 @@ ORACLE_SQL = {
             FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM k""",
+    "op6_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w
+        ), n AS (
+            SELECT doc_id, len(s)::BIGINT AS n FROM s
+        ), u AS (
+            SELECT doc_id, unnest(s) AS x FROM s
+        ), m AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), l AS (
+            SELECT m.a, m.b FROM m JOIN n p ON m.a = p.doc_id JOIN n q ON m.b = q.doc_id WHERE 100 * c >= 75 * (p.n + q.n - c)
+        ), reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a
+        ), c AS (
+            SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+        )
+        SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)""",
+    "op7_suffix_array_dedup": """
+        WITH d AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+        ), w AS (
+            SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 200)) AS h FROM d, unnest(range(0, greatest(length(x) // 2 - 99, 0))) t(i)
+        ), r AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM w) WHERE k > 1
+        ), s AS (
+            SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g
+            FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM r)
+        ), t AS (
+            SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM s GROUP BY doc_id, g
+        ), k AS (
+            SELECT doc_id, list(lo ORDER BY lo) AS lo, list(hi ORDER BY lo) AS hi, sum(hi - lo)::BIGINT AS gone, count(*) AS n FROM t GROUP BY doc_id
+        )
+        SELECT d.doc_id, length(x) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans,
+            sha256(unhex(CASE WHEN n IS NULL THEN x
+                ELSE array_to_string([substr(x, 2 * coalesce(hi[j], 0) + 1, 2 * (coalesce(lo[j + 1], length(x) // 2) - coalesce(hi[j], 0))) FOR j IN range(0, n + 1)], '') END)) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
+    "op10_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), f AS (
+            SELECT *, length('### ' || regexp_replace(role, '(\\|###|</turn>|:)', '\\\1', 'g') || ': ' || regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g') || '</turn>' || chr(10)) AS n FROM t
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
+        FROM f GROUP BY conv_id""",
 }
