@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
-#: Bytes of text that the numpy kernels take at once; a longer document is taken whole.
+#: Bytes of text that the numpy kernels take at once; a longer document comes alone and is
+#: taken in blocks of about as many.
 SLICE_BYTES = 1 << 19
 #: Rows that come to a Python worker at once, so that rows of long texts stay few.
 BATCH_ROWS = 1000
@@ -148,11 +149,31 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
+def blocks(data: np.ndarray, at: np.ndarray, apart: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """data and its row offsets cut at separators into blocks of about SLICE_BYTES; a run
+    without any separator stays whole. Offsets outside a block are its start or end."""
+    n, a = len(data), 0
+    while a < n:
+        b = min(a + SLICE_BYTES, n)
+        while b < n and not apart[data[b]]:
+            near = np.flatnonzero(apart[data[b : b + 4096]])
+            b = b + int(near[0]) if len(near) else min(b + 4096, n)
+        yield data[a:b], np.clip(at - a, 0, b - a)
+        a = b
+
+
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all rows, in order, and each row's first word.
 
     A word is a run of bytes that are not separators, with A-Z lower-cased.
     """
+    if len(data) > 2 * SLICE_BYTES:
+        parts = [_words(*x) for x in blocks(data, at, SEPARATOR)]
+        return np.concatenate([h for h, _ in parts]), sum(first for _, first in parts)
+    return _words(data, at)
+
+
+def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         return np.zeros(0, U64), np.zeros(len(at), np.int64)

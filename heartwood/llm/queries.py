@@ -17,12 +17,16 @@ def vocabulary(name: str) -> str:
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of embeddings. Null, zero and non-finite vectors link with nothing; repeated ids
+    are one node; an empty table gives no rows; labels and other columns are not read."""
     from .vector_dedup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of documents. A null or empty text is its end token; rows without an id are held
+    out; repeated rows count and score each; an empty table gives no rows."""
     from . import lm_score
 
     docs = _table(spark, sf_dir, "documents")
@@ -30,18 +34,25 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of documents. Null and empty texts have no token; null ids and repeated rows are
+    carried through; an empty table gives no rows."""
     from .token_counts import token_counts
 
     return token_counts(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of documents. Null, empty and blank texts are one group; ties go to the smallest
+    id, null ids last; repeated rows each get a row; an empty table gives no rows."""
     from .exact_dedup import exact_duplicates
 
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of documents, learning from labels. Null and empty texts score as texts without
+    any known term; rows without an id are held out; repeated rows are scored each; without
+    labels every score is 0.5; an empty table gives no rows."""
     from . import toxicity
 
     docs = _table(spark, sf_dir, "documents")
@@ -53,18 +64,24 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of documents. Null, empty and blank texts link with nothing; repeated ids are one
+    node; rows without an id have a null component and are kept; an empty table gives no rows."""
     from .minhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of documents. A null text counts as empty; rows without an id come last; rows that
+    repeat an id and a text get equal results; an empty table gives no rows."""
     from .substring_dedup import digests
 
     return digests(_table(spark, sf_dir, "documents"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of documents. A null or empty text is its end id alone; null ids and repeated rows
+    are pieces of their own; an empty table gives no rows."""
     from . import packing
 
     docs = _table(spark, sf_dir, "documents")
@@ -72,12 +89,17 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of documents. A null or empty text is the end id alone; null ids and repeated rows
+    are carried through; an empty table gives no rows."""
     from .sentencepiece_codec import encode_digests
 
     return encode_digests(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of conversations and conversation -7. Null roles and texts count as empty; null
+    turns come first and rows of one turn go by their ids; null conversations are one; an empty
+    table leaves conversation -7."""
     from . import chat_format
 
     hard = r"\### Assistant: </turn> ok"

@@ -51,8 +51,28 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return mix((total[gram:] - total[:-gram]) * common._power(common._P_INV, n)[: n - gram + 1])
 
 
+def hashes_at(data: np.ndarray, place: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """gram_hashes(data, gram)[place], without those between."""
+    power = common._power(common._P, gram)[:gram]
+    parts = [mix((common._BYTE[data[place[lo : lo + 4096, None] + np.arange(gram)]] * power).sum(1, dtype=U64)) for lo in range(0, len(place), 4096)]
+    return np.concatenate(parts) if parts else np.zeros(0, U64)
+
+
 def stretches(data: np.ndarray, at: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, windows, offset of the minimiser, its hash) of each stretch of all rows."""
+    """(start, windows, offset of the minimiser, its hash) of each stretch of all rows. Long
+    data goes block by block; a stretch that lies across two blocks comes as two."""
+    n, size = len(data), common.SLICE_BYTES
+    if n > 2 * size:
+        parts = []
+        for a in range(0, n - window + 1, size):
+            sub = data[a : a + size + window - 1]
+            start, *more = _stretches(sub, np.clip(at - a, 0, len(sub)), window, gram)
+            parts.append((start + a, *more))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    return _stretches(data, at, window, gram)
+
+
+def _stretches(data: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < window:
@@ -267,9 +287,8 @@ def removed(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
             cols: list[list] = [[], [], [], [], []]
             for i in range(b.num_rows):
                 raw = text[i].as_py().encode()
-                h = gram_hashes(np.frombuffer(raw, np.uint8)) if len(raw) >= GRAM else None
                 s, w, m = (x[i].values.to_numpy().astype(np.int64) for x in (start, windows, offset))
-                cols[0] += h[s + m].view(np.int64).tolist()
+                cols[0] += hashes_at(np.frombuffer(raw, np.uint8), s + m).view(np.int64).tolist()
                 cols[1] += [raw[a:e] for a, e in zip(s.tolist(), (s + w + window - 1).tolist(), strict=True)]
                 cols[2] += [o[i]] * len(s)
                 cols[3] += [fp[i]] * len(s)
@@ -428,7 +447,9 @@ def remove_repeats(docs: DataFrame, finish: Callable, schema: str, window: int =
 
 
 def digests(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of each row; see remove_repeats."""
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) of each row, repeated ones too; null
+    ids, null and empty texts, ties and long texts as in remove_repeats. An empty table
+    gives no rows; other columns are not read."""
 
     def finish(raw, lo, hi, ids) -> pa.RecordBatch:
         gone = [sum(b) - sum(a) for a, b in zip(lo, hi, strict=True)]
@@ -440,7 +461,9 @@ def digests(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col
 
 def without_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeats cut out of the text column, a character that loses a byte
-    going whole; see remove_repeats. Other columns stay."""
+    going whole. Every row stays, also one that loses its whole text; a null text comes
+    back empty. Null ids, ties and long texts as in remove_repeats. An empty table gives no
+    rows; other columns, whatever their names, stay as they are."""
     names = docs.columns
     more = [c for c in names if c != text_col]
     kinds = {f.name: f.dataType for f in docs.schema}

@@ -5,6 +5,10 @@ for each term and an inner product of factor vectors for each pair of terms, so
 and a mention that are mild alone can weigh much together. It is fitted on a bounded,
 documented sample of the labelled rows; every text is scored whole, in one pass without a
 shuffle, against a broadcast model whose size the parameters fix.
+
+A term is known to the machine if label 1 has it more often than chance, or if it is half
+of a pair that label 1 has more often than either half: a mention that says nothing alone
+comes in by the pairs it makes.
 """
 
 from __future__ import annotations
@@ -32,6 +36,9 @@ class Settings:
     max_terms: int = 16_384  #: terms kept, by how much more label 1 has them than by chance
     min_rows: int = 3  #: of the sample's rows that must have a term
     min_strength: float = 12.0  #: chi-squared that a term must reach, so that chance ones don't explain rows away
+    pair_terms: int = 2048  #: terms whose pairs are counted: those that most rows of label 1 have
+    pair_share: float = 0.4  #: of the sample's rows that may have such a term at most
+    pair_strength: float = 45.0  #: chi-squared of a pair against the larger rate of its halves, among some 2 million pairs
     factors: int = 8
     alone: float = 0.5  #: share of the passes that fit weights before factors join
     epochs: int = 50  #: at least; more where that makes fewer than min_steps batches
@@ -45,6 +52,13 @@ class Settings:
 
 def terms(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashed terms, row of each) of concatenated rows; a term may come repeatedly."""
+    if len(data) > 2 * common.SLICE_BYTES:
+        parts = [_terms(*x) for x in common.blocks(data, at, APART)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    return _terms(data, at)
+
+
+def _terms(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         return np.zeros(0, U64), np.zeros(0, np.int64)
@@ -149,7 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     """A machine fitted on labelled rows that are not held out.
 
     Rows without an id, label or text don't teach; of repeated labels of an id the larger
-    counts. Without any row the machine scores every text 0.5.
+    counts, and rows that repeat an id each teach. Empty texts teach the bias. Without any
+    row the machine scores every text 0.5. Long texts count whole; columns other than id,
+    text and label are not read.
     """
     spark = docs.sparkSession
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -179,9 +195,22 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     counts = rows.mapInArrow(listed, "h long, n long, y long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     expected = F.col("n") * F.lit(pos / n)
     strength = (F.col("y") - expected) ** 2 / (expected * (1 - pos / n) + 1e-9)
-    best = counts.filter((F.col("n") >= settings.min_rows) & (F.col("y") > expected) & (strength >= settings.min_strength)).orderBy(strength.desc(), "h").limit(settings.max_terms)
-    terms_kept = np.sort(np.array([r[0] for r in best.select("h").collect()], np.int64).view(U64))
-    probe = Machine(terms_kept, 0.0, np.zeros(len(terms_kept)), np.zeros((len(terms_kept), 1)))
+    counts = scratch.save(counts.filter(F.col("n") >= settings.min_rows))
+    best = counts.filter((F.col("y") > expected) & (strength >= settings.min_strength)).orderBy(strength.desc(), "h").limit(settings.max_terms)
+    often = counts.filter((F.col("n") <= settings.pair_share * n) & (F.col("y") > 0)).orderBy(F.col("y").desc(), "h").limit(settings.pair_terms)
+    listed_hashes = lambda df: np.sort(df.select("h").toArrow()["h"].to_numpy().view(U64))
+    alone, often = listed_hashes(best), listed_hashes(often)  # at most max_terms and pair_terms
+    _, label, at, ix = _sample_rows(rows, often)
+    known = np.union1d(alone, often[_paired(label, at, ix, len(often), settings)])
+    ids, label, at, ix = _sample_rows(rows, known)
+    order = np.lexsort((label, ids))
+    return fit(known, [ix[at[i] : at[i + 1]] for i in order], label[order].astype(float), settings)
+
+
+def _sample_rows(rows: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, labels, offsets, places of known terms) of the sample's rows, on the driver: at
+    most max_rows rows of distinct known terms."""
+    probe = Machine(known, 0.0, np.zeros(len(known)), np.zeros((len(known), 1)))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,8 +219,26 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
                 cut = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cut), pa.array(ix.astype(np.int32)))], ["i", "y", "x"])
 
-    got = sorted(rows.mapInArrow(kept, "i long, y int, x array<int>").collect())  # at most max_rows rows of known terms
-    return fit(terms_kept, [np.array(r[2], np.int64) for r in got], np.array([r[1] for r in got], float), settings)
+    got = rows.mapInArrow(kept, "i long, y int, x array<int>").toArrow().combine_chunks()
+    x = got["x"].combine_chunks()
+    return got["i"].to_numpy(), got["y"].to_numpy(), np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy())]), x.flatten().to_numpy().astype(np.int64)
+
+
+def _paired(label: np.ndarray, at: np.ndarray, ix: np.ndarray, terms: int, s: Settings) -> np.ndarray:
+    """Places of the terms that are half of a telling pair, by whole counts of all pairs."""
+    n, y = np.zeros((terms, terms), np.float32), np.zeros((terms, terms), np.float32)
+    for lo in range(0, len(label), 2048):
+        hi = min(lo + 2048, len(label))
+        x = np.zeros((hi - lo, terms), np.float32)
+        x[np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1])), ix[at[lo] : at[hi]]] = 1
+        n += x.T @ x  # whole numbers below 2**24: exact
+        x = x[label[lo:hi] == 1]
+        y += x.T @ x
+    rate = np.diag(y) / np.maximum(np.diag(n), 1)
+    base = np.clip(np.maximum(rate[:, None], rate[None, :]), label.mean() if len(label) else 0.5, 1 - 1e-6)
+    told = (n >= s.min_rows) & (y > n * base) & ((y - n * base) ** 2 >= s.pair_strength * n * base * (1 - base))
+    np.fill_diagonal(told, False)
+    return np.flatnonzero(told.any(1))
 
 
 @bounded

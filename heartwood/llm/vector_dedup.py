@@ -123,7 +123,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, passes: int = PASSE
     scratch = Scratch(spark, "vectors")
     rows, code = usable(vectors, id_col, vector_col)
     rows = scratch.save(rows)
-    cls = scratch.save(rows.filter("vec is not null").groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("times")), rows.count())
+    cls = scratch.save(rows.filter("vec is not null").groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("times")).withColumn("cid", F.monotonically_increasing_id()), rows.count())
 
     classes = cls.count()
     sample = [r.vec for r in cls.orderBy(F.xxhash64("rep", F.lit(SEED)), "rep").limit(SAMPLE).select("vec").collect()]
@@ -201,11 +201,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, passes: int = PASSE
     size = reach.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     place = reach.join(size, "component").select(F.col("node").alias("rep"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     inside = cls.join(place, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    inside = inside.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "rep", "times", "vec")
+    inside = inside.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "cid", "times", "vec")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in runs(batches, 3):
-            rep, times, vec, side = x["rep"].to_numpy(), x["times"].to_numpy(), x["vec"].to_pylist(), x["side"].to_numpy()
+            cid, times, vec, side = x["cid"].to_numpy(), x["times"].to_numpy(), x["vec"].to_pylist(), x["side"].to_numpy()
             if x["i"][0].as_py() == x["j"][0].as_py():
                 hit = cosines(vec, vec, code) >= least
                 np.fill_diagonal(hit, False)
@@ -213,14 +213,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, passes: int = PASSE
             else:
                 left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
                 hit = cosines([vec[k] for k in left], [vec[k] for k in right], code) >= least
-                total = np.zeros(len(rep), np.int64)
+                total = np.zeros(len(cid), np.int64)
                 total[left], total[right] = hit @ times[right], hit.T @ times[left]
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(total.astype(np.int64))], ["r", "l"])
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(total.astype(np.int64))], ["c", "l"])
 
-    cell = inside.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "rep")
-    link = cell.mapInArrow(counted, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+    cell = inside.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "cid")
+    link = cell.mapInArrow(counted, "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
 
-    known = cls.join(link, "rep", "left").join(reach.withColumnRenamed("node", "rep"), "rep", "left")
+    known = cls.join(link, "cid", "left").join(reach.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("vec", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     out = rows.join(known, "vec", "left")
     component = F.coalesce("component", "id")

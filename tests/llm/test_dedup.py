@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heartwood.llm import exact_dedup, minhash, substring_dedup, vector_dedup
+from heartwood.llm import common, exact_dedup, minhash, substring_dedup, toxicity, vector_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _t string, rep long, text_sha256 string"
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -139,12 +139,29 @@ def plain_repeats(rows, window=100):
 @pytest.mark.parametrize("split", [1000, 2])
 def test_repeats(spark, rows, monkeypatch, split):
     monkeypatch.setattr(substring_dedup, "SPLIT", split)
-    rows = [(i, t) for i, t in dict(rows).items() if len(t or "") < 10_000]
+    rows = [*dict(rows).items(), (3000, prose(random.Random(8), 9000) + " x" * 20_000)]
     rows += [(2000 + i, f"{i} " * 5 + "é" * 80 + "tail" * 20 + f" {i * 7919}") for i in range(6)]
     got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.digests(frame(spark, rows)).collect()}
     assert got == plain_repeats(rows)
 
 
+def test_long_texts_go_in_blocks(monkeypatch):
+    """The kernels give the same whatever the size of their blocks."""
+    rng = random.Random(2)
+    rows = [prose(rng, n).encode() for n in (0, 5, 900, 1, 0, 3000, 40)] + [b"x" * 3000, b""]
+    data, at = np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)])
+    whole = common.words(data, at), toxicity.terms(data, at), substring_dedup.stretches(data, at, 100)
+    place = whole[2][0] + whole[2][2]
+    assert (substring_dedup.hashes_at(data, place) == whole[2][3]).all()
+    monkeypatch.setattr(common, "SLICE_BYTES", 700)
+    cut = common.words(data, at), toxicity.terms(data, at), substring_dedup.stretches(data, at, 100)
+    assert all((a == b).all() for a, b in zip(whole[0], cut[0], strict=True))
+    assert sorted(zip(*whole[1], strict=True)) == sorted(zip(*cut[1], strict=True))
+    # Cut stretches cover the same windows, with the same minimiser for each.
+    each = lambda x: sorted((s + k, h, s + m) for s, w, m, h in zip(*(v.tolist() for v in x), strict=True) for k in range(w))
+    assert each(whole[2]) == each(cut[2])
+
+
 def test_repeats_keep_columns_and_characters(spark):
     docs = frame(spark, [(1, "é" * 60), (2, "x" + "é" * 60 + "y"), (None, None)])
     got = {r.doc_id: r for r in substring_dedup.without_repeats(docs).collect()}
@@ -180,6 +197,13 @@ def test_vectors(spark, monkeypatch):
     assert got == {i: (n[i], of[i], of[i] == i) for i, _ in rows}
 
 
+def test_vectors_that_repeat_an_id(spark):
+    """Rows of one id are one node: they join what either is near to."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [-1.0, 0.0]), (None, [1.0, 0.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_dedup.near_duplicates(vectors(spark, rows)).collect() if r.vec_id)
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+
+
 def test_vectors_that_crowd(spark, monkeypatch):
     """Vectors around one direction, where a few passes of small blocks miss pairs."""
     monkeypatch.setattr(vector_dedup, "BLOCK", 4)

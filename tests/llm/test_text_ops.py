@@ -259,6 +259,34 @@ def test_toxicity_pairs():
     assert s[2] > 0.5 and max(np.delete(s, 2)) < 0.5
 
 
+def test_toxicity_of_a_pair_with_neutral_parts(spark):
+    """Label 1 is as frequent among rows with a half as among all rows; half alone is clean,
+    both together are not. From the table to the scores, with rows that repeat an id."""
+    rng = random.Random(9)
+    word = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(300)]
+    docs, labels = [], []
+    for i in range(6000):
+        w, kind = [rng.choice(word) for _ in range(30)], rng.random()
+        bad = kind < 0.4 * 0.465 or kind > 0.9
+        if kind < 0.4:
+            w[7] = "vile" if bad else w[7]
+        elif kind < 0.65 or kind > 0.9:
+            w[3] = "zorps"
+        if kind >= 0.65:
+            w[20] = "quilt"
+        docs.append((i, " ".join(w)))
+        labels.append((i, 0, int(bad)))
+    rate = lambda term: (lambda x: sum(x) / len(x))([y for (_, t), (_, _, y) in zip(docs, labels, strict=True) if term in t])
+    assert abs(rate("zorps") - rate("")) < 0.04 and abs(rate("quilt") - rate("")) < 0.04
+    table = frame(spark, docs + docs[:50])
+    machine = toxicity.train(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(table, machine).collect()}
+    out = [i for i in got if zlib.crc32(str(i).encode()) % 3 == 1]
+    for test, want in ((lambda t: "zorps" in t and "quilt" in t, 1), (lambda t: ("zorps" in t) != ("quilt" in t), 0), (lambda t: "vile" in t, 1)):
+        hit = [got[i] >= 0.7 for i in out if test(docs[i][1])]
+        assert len(hit) > 100 and sum(h == want for h in hit) / len(hit) > 0.95
+
+
 def test_toxicity_without_labels(spark, labelled):
     docs, labels = labelled
     machine = toxicity.train(docs, labels.filter("false"))
