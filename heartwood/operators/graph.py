@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 
 MAX_GENERATION = 50
+FEW_NODES = 1 << 18  #: rows of two ids that may be broadcast
 
 
 def nodes_by_kind(nodes: DataFrame, kind: str) -> DataFrame:
@@ -50,19 +51,26 @@ def incident_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------ components
 
 
-def connected_components(nodes: DataFrame, pairs: DataFrame, scratch: Scratch, max_rounds: int = 64) -> DataFrame:
-    """(handle, component): the smallest handle that undirected pairs (a, b) reach.
+def stars(edges: DataFrame, scratch: Scratch, rows: int | None = None, max_rounds: int = 64) -> DataFrame:
+    """(a, b): every node a of undirected edges (a, b) with the smallest node b that it reaches,
+    but for that node itself. ``rows``: about how many edges there are, if known.
 
     Large-star and small-star steps in turn: every node's edges move to its smallest
     neighbour, found by a pre-aggregated minimum and joined back, so a hub's neighbours
-    are never gathered. The number of rounds grows with the logarithm of the diameter.
-    Handles only in ``nodes`` are components of one; pairs with other handles are kept too.
+    are never gathered: few nodes' minima are broadcast, those of many are written, so that
+    both sides of the join are plain exchanges and a hub's rows can be split. The number of
+    rounds grows with the logarithm of the diameter.
     """
+    minima: list[DataFrame] = []
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, count: int) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         side = both if large else both.filter("b < a")
         low = side.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        if 2 * count <= FEW_NODES:
+            low = F.broadcast(low)
+        else:
+            minima.append(low := scratch.save(low))
         joined = side.join(low, "a")
         if large:
             moved = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -70,19 +78,31 @@ def connected_components(nodes: DataFrame, pairs: DataFrame, scratch: Scratch, m
             moved = joined.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
         return moved.filter("a != b").distinct()
 
-    now = scratch.save(pairs.select("a", "b").filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = scratch.save(edges.select("a", "b").filter("a != b"), rows)
     sign, count = None, now.count()
     for _ in range(max_rounds):
-        new = scratch.save(star(star(now, True), False), count)
-        scratch.drop(now)
+        half = star(now, True, count)
+        if 2 * count > FEW_NODES:
+            half = scratch.save(half)
+            minima.append(half)
+        new = scratch.save(star(half, False, count), count)
+        for x in [now, *minima]:
+            scratch.drop(x)
+        minima.clear()
         now = new
         row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if row == sign:
-            break
+            return now
         sign, count = row, row[0]
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    of = now.select(F.col("a").alias("handle"), F.col("b").alias("component"))
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def connected_components(nodes: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(handle, component): the smallest handle that undirected pairs (a, b) reach.
+
+    Handles only in ``nodes`` are components of one; pairs with other handles are kept too.
+    """
+    of = stars(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), scratch).select(F.col("a").alias("handle"), F.col("b").alias("component"))
     return nodes.select("handle").join(of, "handle", "left").select("handle", F.coalesce("component", "handle").alias("component"))
 
 

@@ -36,9 +36,8 @@ def impute_years(nodes: DataFrame, links: DataFrame, generations: DataFrame, scr
         now = scratch.save(reach)
         if now.isEmpty():
             break
-        mean = now.groupBy("handle").agg(F.sum("base").alias("total"), F.count("*").alias("n"))
-        done = mean if done is None else done.unionByName(mean)
-        done = scratch.save(done)
+        mean = scratch.save(now.groupBy("handle").agg(F.sum("base").alias("total"), F.count("*").alias("n")))
+        done = mean if done is None else done.unionByName(mean)  # what each round wrote, as is
     if done is None:
         return nodes.select("handle", "year", F.col("year").alias("imputed_year"), F.lit(False).alias("is_imputed"))
     # The mean of year + (own generation - source's) * gap, as a whole sum over n.

@@ -209,6 +209,16 @@ def test_pairing_reaches_its_target(spark, scratch):
             assert max(collections.Counter(r[who] for r in got).values()) <= roles
 
 
+def test_components_of_many_nodes(spark, scratch, monkeypatch):
+    """The way without a broadcast gives the same."""
+    rng = random.Random(6)
+    e = spark.createDataFrame([(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(0, i) for i in range(400, 460)], "a long, b long")
+    got = [result(graph.stars(e, scratch))]
+    monkeypatch.setattr(graph, "FEW_NODES", 0)
+    got.append(result(graph.stars(e, scratch)))
+    assert got[0] == got[1] and len(got[0]) > 200
+
+
 def test_places_in_order(spark, scratch):
     rows = spark.range(0, 1000, 1, 7).selectExpr("(id * 7919) % 1000 as v", "id % 3 as w")
     placed, n = rank.numbered(rows, ["v"], scratch)
