@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import stars
 from ..scratch import Scratch
 
 #: Bytes of text that the numpy kernels take at once; a longer document comes alone and is
@@ -239,40 +240,12 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], ["a", "b"])
 
 
-def components(edges: DataFrame, scratch: Scratch, rows: int | None = None, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rows: int | None = None) -> DataFrame:
     """(node, component): the smallest node that undirected ``edges`` (a, b) reach.
 
-    Alternating large-star and small-star steps; a step moves each node's edges to the
-    smallest neighbour, by a pre-aggregated minimum and a join that skew handling may
-    split, so no neighbourhood is gathered in one task. Partitions first reduce their own
-    edges to stars. Nodes without an edge are not in the result. ``rows``: about how many
-    edges there are, if known.
+    Partitions first reduce their own edges to stars. Nodes without an edge are not in the
+    result. ``rows``: about how many edges there are, if known.
     """
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        side = both if large else both.filter("b < a")
-        low = side.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        joined = side.join(low, "a")
-        if large:
-            moved = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            moved = joined.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
-        return moved.filter("a != b").distinct()
-
-    forest = lambda e: e.mapInArrow(_local_forest, "a long, b long")
-    now = scratch.save(forest(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b")), rows)
-    sign = None
-    count = now.count()
-    for _ in range(max_rounds):
-        new = scratch.save(star(star(now, True), False), count)
-        scratch.drop(now)
-        now = new
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if row == sign:
-            break
-        sign, count = row, row[0]
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    forest = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b").mapInArrow(_local_forest, "a long, b long")
+    found = stars(forest, scratch, rows)
+    return found.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(found.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
