@@ -167,7 +167,8 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), si
     Two rows are linked when t[1] * intersection >= t[0] * union over their shingle sets,
     ``similarity`` being t. ``component_id`` is the smallest id that links reach, ``kept``
     whether it is the row's own. A null text counts as empty; rows without a word have an
-    empty set and are linked with nothing. Repeated rows are linked like any others, and a
+    empty set and are linked with nothing. Long texts count whole. Sets hold 64-bit hashes
+    of words and of shingles, and links are confirmed on whole sets of them. Repeated rows are linked like any others, and a
     repeated id is one node: rows with it share a component. Rows with a null id get
     n_shingles, a null component and are kept. An empty table gives no rows; other columns
     are not read.
@@ -180,7 +181,8 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), si
 
     # Lists of retained values.
     value = reps.select("rep", F.posexplode("head").alias("r", "v"))
-    count = value.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1")
+    # Written, as ``held`` is, so that the join's sides are plain exchanges, of which a hot value can be split.
+    count = scratch.save(value.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1"))
     mine = value.join(count, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("r", "v", "c"))).alias("x"))  # at most HEAD
     part = lambda test: F.transform(F.filter("x", test), lambda y: y.v)
     mine = mine.select("rep", F.slice(part(lambda y: y.c <= FREQUENT), 1, LISTS).alias("rare"), part(lambda y: y.c > FREQUENT).alias("often"))
@@ -188,7 +190,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), si
     mostly = 2 * F.size("often") >= F.size("head")
     keys = F.concat("rare", F.when(mostly, F.slice("often", 1, LISTS)).otherwise(F.array().cast("array<long>")))
     member = scratch.save(mine.select(F.explode(keys).alias("v"), "rep", "n", "sketch"), reps.count())
-    held = member.groupBy("v").agg(F.count("*").alias("c"), F.min("rep").alias("least")).filter("c > 1")
+    held = scratch.save(member.groupBy("v").agg(F.count("*").alias("c"), F.min("rep").alias("least")).filter("c > 1"))
     member = member.join(held, "v")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
