@@ -6,6 +6,8 @@ partitions and survive a recomputed task.
 
 from __future__ import annotations
 
+import json
+import re
 import warnings
 from dataclasses import dataclass, field
 
@@ -70,6 +72,60 @@ def load_scenario(values: dict) -> Scenario:
     return Scenario(config, names, dens.get("target_connectivity", 0.85) if dens.get("enabled") else None, dens.get("max_parent_roles", 3))
 
 
+def read_scenario(path: str) -> Scenario:
+    """From a file on the driver: JSON, or the block part of YAML (nested mappings, lists of
+    values, one-line mappings and lists, comments). Anything else is an error."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if text.lstrip().startswith("{"):
+        return load_scenario(json.loads(text))
+    lines = []
+    for n, raw in enumerate(text.splitlines(), 1):
+        line = re.sub(r"""(^|\s)#(?=(?:[^'"]|'[^']*'|"[^"]*")*$).*""", "", raw).rstrip()
+        if line.strip() and line.strip() != "---":
+            lines.append((n, len(line) - len(line.lstrip()), line.strip()))
+    values, left = _block(lines, 0)
+    if left:
+        raise ValueError(f"line {left[0][0]} doesn't belong anywhere")
+    return load_scenario(values)
+
+
+def _value(text: str):
+    if text[:1] == "{" and text[-1:] == "}":
+        return {k.strip(): _value(v.strip()) for k, v in (x.split(":", 1) for x in text[1:-1].split(",") if x.strip())}
+    if text[:1] == "[" and text[-1:] == "]":
+        return [_value(x.strip()) for x in text[1:-1].split(",") if x.strip()]
+    if text[:1] in "'\"" and text[:1] and text[-1:] == text[:1]:
+        return text[1:-1]
+    try:
+        return json.loads(text)  # numbers, true, false and null
+    except ValueError:
+        return None if text in ("", "~") else text
+
+
+def _block(lines: list[tuple[int, int, str]], depth: int):
+    """(the value of the lines at this depth, the lines behind it)."""
+    if lines and lines[0][1] == depth and lines[0][2].startswith("- "):
+        items = []
+        while lines and lines[0][1] == depth and lines[0][2].startswith("- "):
+            items.append(_value(lines[0][2][2:].strip()))
+            lines = lines[1:]
+        return items, lines
+    out = {}
+    while lines and lines[0][1] == depth:
+        n, _, text = lines[0]
+        m = re.fullmatch(r"([\w-]+)\s*:(?:\s+(.*))?", text)
+        if not m or m[1] in out:
+            raise ValueError(f"line {n} isn't a new key and its value")
+        lines = lines[1:]
+        deeper = lines and (lines[0][1] > depth or (lines[0][1] == depth and lines[0][2].startswith("- ")))
+        if m[2] is None and deeper:
+            out[m[1]], lines = _block(lines, lines[0][1])
+        else:
+            out[m[1]] = _value((m[2] or "").strip())
+    return out, lines
+
+
 def roll(seed: int, what: str, *key: Column) -> Column:
     """Uniform in [0, 1)."""
     return F.pmod(F.xxhash64(F.lit(seed), F.lit(what), *key), F.lit(1 << 40)) / F.lit(float(1 << 40))
