@@ -155,9 +155,9 @@ ORACLE_SQL = {
         SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)""",
     "op7_suffix_array_dedup": """
         WITH d AS (
-            SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+            SELECT doc_id, encode(coalesce(text, '')) AS x, hex(x) AS y FROM documents
         ), w AS (
-            SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 200)) AS h FROM d, unnest(range(0, greatest(length(x) // 2 - 99, 0))) t(i)
+            SELECT doc_id, i, md5_number(x[i + 1 : i + 100]) AS h FROM (SELECT doc_id, x, unnest(range(0, octet_length(x) - 99)) AS i FROM d)
         ), r AS (
             SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM w) WHERE k > 1
         ), s AS (
@@ -168,9 +168,9 @@ ORACLE_SQL = {
         ), k AS (
             SELECT doc_id, list(lo ORDER BY lo) AS lo, list(hi ORDER BY lo) AS hi, sum(hi - lo)::BIGINT AS gone, count(*) AS n FROM t GROUP BY doc_id
         )
-        SELECT d.doc_id, length(x) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans,
-            sha256(unhex(CASE WHEN n IS NULL THEN x
-                ELSE array_to_string([substr(x, 2 * coalesce(hi[j], 0) + 1, 2 * (coalesce(lo[j + 1], length(x) // 2) - coalesce(hi[j], 0))) FOR j IN range(0, n + 1)], '') END)) AS kept_sha256
+        SELECT d.doc_id, octet_length(x) AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans,
+            sha256(unhex(CASE WHEN n IS NULL THEN y
+                ELSE array_to_string([substr(y, 2 * coalesce(hi[j], 0) + 1, 2 * (coalesce(lo[j + 1], octet_length(x)) - coalesce(hi[j], 0))) FOR j IN range(0, n + 1)], '') END)) AS kept_sha256
         FROM d LEFT JOIN k USING (doc_id)""",
     "op10_chat_format": r"""
         WITH t AS (
