@@ -17,7 +17,9 @@ The exact unigram counts that only the base score needs are broadcast for the fr
 words (a bounded number of them) and joined by hash for the others; either way the sums
 are the same.
 
-Words and pairs are told apart by 64-bit hashes of their bytes.
+Words and pairs are told apart by 64-bit hashes of their bytes. In the filter an n-gram is
+its bucket and 32 more bits of its hash, which is all that travels there; buckets grow in
+number with the input, so they don't crowd.
 """
 
 from __future__ import annotations
@@ -71,6 +73,21 @@ def word_key(token: np.ndarray) -> np.ndarray:
     return mix(token + U64(0x51ED270B))
 
 
+def trim(keys: np.ndarray, shift: np.uint64) -> np.ndarray:
+    """Keys with their bucket (the bits from ``shift`` on) and the next 32 bits alone."""
+    low = shift - U64(32)
+    return keys >> low << low
+
+
+def packed(keys: np.ndarray, shift: np.uint64) -> np.ndarray:
+    """The 32 bits behind the bucket."""
+    return (keys >> (shift - U64(32))).astype(np.uint32)
+
+
+def unpacked(bucket: int, keys: np.ndarray, shift: np.uint64) -> np.ndarray:
+    return (U64(bucket) << shift) | (keys.astype(U64) << (shift - U64(32)))
+
+
 def level_of(count: np.ndarray) -> np.ndarray:
     return np.frexp(count.astype(np.float64))[1].astype(np.int64)  # 1 + floor(log2 c)
 
@@ -190,7 +207,7 @@ def train(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", tex
 
         def flush() -> pa.RecordBatch:
             word, wc = summed(np.concatenate([x for x, _ in have]))
-            pair, pc = summed(np.concatenate([x for _, x in have]))
+            pair, pc = summed(trim(np.concatenate([x for _, x in have]), shift))
             place = np.argsort(word_key(word), kind="stable")  # words go by the bucket of their key in the filter
             word, wc = word[place], wc[place]
             cut = [np.searchsorted(k >> shift, np.arange(spread + 1, dtype=U64)) for k in (word_key(word), pair)]
@@ -198,7 +215,7 @@ def train(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", tex
             part = lambda a, c, kind: pa.array([a[c[i] : c[i + 1]].astype(kind).tobytes() for i in some], pa.binary())
             seen = np.zeros(len(some), np.int64)
             seen[0] = rows
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen), part(word, cut[0], U64), part(wc, cut[0], np.int64), part(pair, cut[1], U64), part(pc, cut[1], np.int32)], ["b", "r", "w", "wc", "p", "pc"])
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen), part(word, cut[0], U64), part(wc, cut[0], np.int64), part(packed(pair, shift), cut[1], np.uint32), part(pc, cut[1], np.int32)], ["b", "r", "w", "wc", "p", "pc"])
 
         for b in batches:
             for lo, hi, data, at in slices(text_array(b.column(0))):
@@ -214,8 +231,8 @@ def train(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", tex
     def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         whole = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table[c].to_pylist())])
         word, wc = summed(whole("w", U64), whole("wc", np.int64))
-        pair, pc = summed(whole("p", U64), whole("pc", np.int32).astype(np.int64))
-        x = build(np.concatenate([word_key(word), pair]), np.concatenate([wc, pc]), s)
+        pair, pc = summed(unpacked(key[0].as_py(), whole("p", np.uint32), shift), whole("pc", np.int32).astype(np.int64))
+        x = build(np.concatenate([trim(word_key(word), shift), pair]), np.concatenate([wc, pc]), s)
         by_level = np.bincount(level_of(wc), minlength=LEVELS)
         return pa.table({
             "b": pa.array([key[0].as_py()], pa.int32()), "rows": pa.array([sum(table["r"].to_pylist())], pa.int64()), "bits": pa.array([x.bits], pa.binary()), "probes": pa.array([x.probes], pa.int32()), "top": pa.array([x.top], pa.int32()),
@@ -322,7 +339,7 @@ def score(docs: DataFrame, m: Model, id_col: str = "doc_id", text_col: str = "te
             first = TaskContext.get().partitionId() << 36
             for b in batches:
                 for lo, hi, data, at in slices(text_array(b.column(2))):
-                    yield scored(first, b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), data, at, shared.value.levels)
+                    yield scored(first, b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), data, at, lambda k: shared.value.levels(trim(k, shift)))
                     first += hi - lo
 
         rows = docs.mapInArrow(run, schema)
@@ -357,24 +374,25 @@ def _scored_by_bucket(docs: DataFrame, m: Model, scratch: Scratch, scored: Calla
     lots = scratch.save(docs.mapInArrow(dealt, "lot long, id long, held boolean, text string"))
 
     def keys_of(text: pa.Array) -> np.ndarray:
-        parts = []
+        parts = [trim(word_key(BEGIN.reshape(1)), shift)]
         for _, _, data, at in slices(text_array(text)):
             seq, before, _ = tokens(data, at)
-            parts.append(np.unique(np.concatenate([word_key(seq), word_key(before), pair_key(before, seq)])))
-        return np.unique(np.concatenate(parts)) if parts else np.zeros(0, U64)
+            parts.append(np.unique(trim(np.concatenate([word_key(seq), pair_key(before, seq)]), shift)))
+        return np.unique(np.concatenate(parts))
 
     def asked(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         keys = keys_of(table["text"])
         b, first = np.unique((keys >> shift).astype(np.int64), return_index=True)
-        cut = np.append(first, len(keys)).tolist()
+        cut, keys = np.append(first, len(keys)).tolist(), packed(keys, shift)
         return pa.table({"b": pa.array(b.astype(np.int32)), "lot": pa.array(np.full(len(b), key[0].as_py())), "keys": pa.array([keys[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
     def answered(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         x = Stretch(right["bits"][0].as_py(), right["probes"][0].as_py(), right["top"][0].as_py()) if right.num_rows else EMPTY
-        one = Filter([x])
-        return pa.table({"lot": left["lot"], "b": left["b"], "levels": pa.array([one.levels(np.frombuffer(k.as_py(), U64)).tobytes() for k in left["keys"]], pa.binary())})
+        one, b = Filter([x]), key[0].as_py()
+        return pa.table({"lot": left["lot"], "b": left["b"], "levels": pa.array([one.levels(unpacked(b, np.frombuffer(k.as_py(), np.uint32), shift)).tobytes() for k in left["keys"]], pa.binary())})
 
-    need = lots.select("lot", "text").groupBy("lot").applyInArrow(asked, "b int, lot long, keys binary")
+    # All columns, as in the cogroup below, so that both read one exchange of the lots.
+    need = lots.groupBy("lot").applyInArrow(asked, "b int, lot long, keys binary")
     found = need.groupBy("b").cogroup(m.stretches.groupBy("b")).applyInArrow(answered, "lot long, b int, levels binary")
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
@@ -384,7 +402,7 @@ def _scored_by_bucket(docs: DataFrame, m: Model, scratch: Scratch, scored: Calla
         first, out = key[0].as_py() << 28, []
         for b in left.combine_chunks().to_batches():
             for lo, hi, data, at in slices(text_array(b.column("text"))):
-                out.append(scored(first, b.column("id").slice(lo, hi - lo), b.column("held").slice(lo, hi - lo), data, at, lambda k: level[np.searchsorted(keys, k)]))
+                out.append(scored(first, b.column("id").slice(lo, hi - lo), b.column("held").slice(lo, hi - lo), data, at, lambda k: level[np.searchsorted(keys, trim(k, shift))]))
                 first += hi - lo
         return pa.Table.from_batches(out)
 
