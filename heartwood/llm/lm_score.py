@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, bounded, mix, slices, text_array, words
+from .common import U64, Scratch, bounded, distinct, mix, slices, text_array, words
 
 END, BEGIN = U64(0xE703), U64(0xBE61)  # the end token, and what stands before the first word
 LEVELS = 64
@@ -377,8 +377,8 @@ def _scored_by_bucket(docs: DataFrame, m: Model, scratch: Scratch, scored: Calla
         parts = [trim(word_key(BEGIN.reshape(1)), shift)]
         for _, _, data, at in slices(text_array(text)):
             seq, before, _ = tokens(data, at)
-            parts.append(np.unique(trim(np.concatenate([word_key(seq), pair_key(before, seq)]), shift)))
-        return np.unique(np.concatenate(parts))
+            parts.append(distinct(trim(np.concatenate([word_key(seq), pair_key(before, seq)]), shift)))
+        return distinct(np.concatenate(parts))
 
     def asked(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         keys = keys_of(table["text"])
