@@ -213,7 +213,7 @@ def shingles(h: np.ndarray, first: np.ndarray, size: int = 5) -> list[np.ndarray
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= size:
-            out.append(np.unique(run[a : b - size + 1]))
+            out.append(distinct(run[a : b - size + 1]))
         elif b > a:
             x = sum((int(v) * _STEP[i] for i, v in enumerate(h[a:b])), _STEP[8] * (b - a))
             out.append(mix(np.array([x % 2**64], U64)))
