@@ -229,10 +229,17 @@ def element(kind: str) -> Column:
     return F.concat(F.lit(f"    <{tag}"), _attr("handle", c("handle")), _attr("id", c("public_id")), F.lit(">"), *body[kind](), *lists, F.lit(f"</{tag}>"))
 
 
-def lines(t: dict[str, DataFrame], namespace: str, version: str, created: str, note: str = "Generated by heartwood") -> DataFrame:
+def _head(namespace: str, version: str, created: str, note: str) -> str:
+    return f'<?xml version="1.0" encoding="UTF-8"?>\n<database xmlns="{namespace}">\n  <header>\n    <created date="{created}" version="{version}"/>\n    <researcher>\n      <resname>{note}</resname>\n    </researcher>\n  </header>'
+
+
+_NOTE, _END = "Generated by heartwood", "</database>"
+
+
+def lines(t: dict[str, DataFrame], namespace: str, version: str, created: str, note: str = _NOTE) -> DataFrame:
     """(section, handle, line) of the whole file, to be written in that order."""
     spark = next(iter(t.values())).sparkSession
-    fixed = [(-2, "", f'<?xml version="1.0" encoding="UTF-8"?>\n<database xmlns="{namespace}">'), (-1, "", f'  <header>\n    <created date="{created}" version="{version}"/>\n    <researcher>\n      <resname>{note}</resname>\n    </researcher>\n  </header>'), (99, "", "</database>")]
+    fixed = [(-1, "", _head(namespace, version, created, note)), (99, "", _END)]
     out = spark.createDataFrame(fixed, "section int, handle string, line string")
     for i, (kind, (section, _)) in enumerate(SECTIONS.items()):
         if kind not in t:
@@ -246,9 +253,33 @@ def lines(t: dict[str, DataFrame], namespace: str, version: str, created: str, n
 
 
 def write(t: dict[str, DataFrame], path: str, namespace: str, version: str, created: str, files: int | None = None) -> None:
-    """Part files whose names' order is the file's; ``files=1`` writes it in one."""
-    out = lines(t, namespace, version, created).orderBy("section", "handle").select("line")
-    (out if files is None else out.coalesce(files)).write.mode("overwrite").text(path)
+    """Part files, each a whole document, as Spark's reader leaves out without a word what
+    follows the first element of a piece of one. In the order of their names they have the
+    file's elements in its order; ``files=1`` writes it in one."""
+    head = _head(namespace, version, created, _NOTE)
+    names = [section for section, _ in SECTIONS.values()]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The lines of a part, with the file's ends and the section's tags where it is cut."""
+        inside: int | None = None  # the section that is open
+        begun = ended = False
+        for b in batches:
+            out = []
+            for at, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if not begun and at != -1:
+                    out.append(head)
+                begun, ended = True, at == 99
+                if 0 <= at < 99:
+                    if inside is None and at % 3:
+                        out.append(f"  <{names[at // 3]}>")
+                    inside = None if at % 3 == 2 else at // 3
+                out.append(line)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        if begun and not ended:
+            yield pa.RecordBatch.from_arrays([pa.array([*([f"  </{names[inside]}>"] if inside is not None else []), _END], pa.string())], ["value"])
+
+    out = lines(t, namespace, version, created).orderBy("section", "handle").select("section", "line")
+    (out if files is None else out.coalesce(files)).mapInArrow(whole, "value string").write.mode("overwrite").text(path)
 
 
 # -------------------------------------------------------------------------- cleaning

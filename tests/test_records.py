@@ -213,6 +213,35 @@ def test_xml_round_trip(spark, tmp_path):
         assert same(t[kind]) == same(again[kind]), kind
 
 
+def test_xml_in_many_parts(spark, tmp_path):
+    """Wherever a file is cut, each part is a document and every element is read again."""
+    from xml.etree import ElementTree
+
+    (tmp_path / "g.xml").write_text(DOCUMENT)
+    t = xml.tables(spark, str(tmp_path / "g.xml"))
+    many = spark.range(300).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("handle"))
+    t["Note"] = t["Note"].join(many, F.lit(True)).select(many["handle"], *t["Note"].columns[1:])
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", 12)
+        xml.write(t, str(tmp_path / "many"), "urn:example:graph/1.7.2/", "5.2", "2024-01-01")
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    xml.write(t, str(tmp_path / "one"), "urn:example:graph/1.7.2/", "5.2", "2024-01-01", files=1)
+    handles = lambda t: sorted((k, r.handle) for k in ("Tag", "Person", "Place", "Note") for r in t[k].select("handle").collect())
+    assert handles(xml.tables(spark, str(tmp_path / "many"))) == handles(t)
+
+    def elements(name):
+        parts = [ElementTree.parse(p).getroot() for p in sorted((tmp_path / name).glob("part-*")) if p.stat().st_size]
+        assert all(r[0].tag.endswith("header") for r in parts)
+        return len(parts), [(s.tag, ElementTree.tostring(x).strip()) for r in parts for s in r[1:] for x in s]
+
+    (n, one), (several, cut) = elements("one"), elements("many")
+    assert n == 1 and several > 4 and one == cut
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_cleaning_files(spark, tmp_path, packed):
     (tmp_path / "in").mkdir()
